@@ -12,8 +12,9 @@ Every window but a shard's last is exactly full. The last is written as sequence
 powers of two that it adds up to, which need no padding.
 
 The tokenizer splits texts into words at white space and never joins ids across it, so ids of a word are
-looked up in a worker's cache of at most CACHE words; texts with control characters that only some split
-at, and those in which an added token's string occurs, go through the library as a whole.
+looked up in a worker's cache of at most CACHE words. A plain Latin word that isn't there goes to the
+tokenizer's model itself, others to the whole tokenizer; texts with control characters that only some
+split at, and those in which an added token's string occurs, go through the library as a whole.
 
 Defined cases: null and empty texts are the end id alone; documents longer than a sequence are cut into
 consecutive pieces; rows with equal doc_id are packed each for itself; an empty table gives no pieces.
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +41,36 @@ END = 2
 SHARD_DOCS = 4096
 SHARD_TOKENS = 1 << 24
 QUERY_TERMS = 8
-CACHE = 300_000
+CACHE = 500_000
 K1, B = 1.2, 0.75
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_ODD = re.compile("[\x00-\x08\x1c-\x1f]")
-_MARK = "\x01"
+#: Control characters at which str.split() cuts and the tokenizer doesn't.
+_ODD = "\x1c\x1d\x1e\x1f"
+#: A word of Latin letters that no normalisation but lower case changes, and signs after it.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\\w\\s']*)")
 _workers: dict[str, WordIds] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level tokenizers write for the bytes of Latin letters' UTF-8 forms."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [x for x in range(256) if x not in shown]
+    byte = {x: chr(x) for x in shown} | {x: chr(256 + i) for i, x in enumerate(hidden)}
+    return {c: "".join(byte[x] for x in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+class _Cache(dict):
+    """Asks once for what it doesn't hold."""
+
+    def __init__(self, ask: Callable[[str], bytes]):
+        self.ask = ask
+
+    def __missing__(self, word: str) -> bytes:
+        out = self[word] = self.ask(word)
+        return out
+
+
 class WordIds:
     """The ids of texts for a word-splitting tokenizer file."""
 
@@ -58,48 +80,53 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.mark = self._whole(_MARK)
-        self.cache: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.letters = _byte_letters()
+        self.cache = _Cache(self._word)
+        self.bases: dict[str, bytes] = {}
+        # the short cut for plain words is taken only if it gives what the library gives
+        self.direct = all(self._base(w) == self._whole(w) for w in ("the", "zyxwvq", "être", "überßen", "ñandúà"))
+        self.bases.clear()
+        self.cache.clear()
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _base(self, letters: str) -> bytes:
+        """A run of lower-case letters goes to the model itself."""
+        out = self.bases.get(letters)
+        if out is None:
+            shown = letters if letters.isascii() else letters.translate(self.letters)
+            out = self.bases[letters] = self._bytes([t.id for t in self.tokenizer.model.tokenize(shown)])
+        return out
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes new words, many to a call, told apart by a mark between them."""
-        if len(self.cache) + len(words) > CACHE:
-            self.cache.clear()
-        if len(self.mark) != 1:
-            self.cache.update((w, np.array(self._whole(w), self.kind).tobytes()) for w in words)
-            return
-        for i in range(0, len(words), 8192):
-            part = words[i : i + 8192]
-            ids = np.array(self._whole(f" {_MARK} ".join(part)), self.kind)
-            cuts = np.flatnonzero(ids == self.mark[0])
-            if len(cuts) != len(part) - 1:
-                self.cache.update((w, np.array(self._whole(w), self.kind).tobytes()) for w in part)
-                continue
-            raw, size = ids.tobytes(), self.kind.itemsize
-            ends = [*cuts.tolist(), len(ids)]
-            begin = 0
-            for w, e in zip(part, ends, strict=True):
-                self.cache[w] = raw[begin * size : e * size]
-                begin = e + 1
+    def _word(self, word: str) -> bytes:
+        m = _PLAIN.fullmatch(word) if self.direct else None
+        if m is None:
+            return self._whole(word)
+        out, signs = self._base(m[1].lower()), m[2]
+        if signs:
+            tail = self.bases.get(signs)
+            if tail is None:
+                tail = self.bases[signs] = self._whole(signs)
+            out += tail
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         split: list[tuple[int, list[str]]] = []
         for i, t in enumerate(texts):
             t = t or ""
-            if _ODD.search(t) or any(s in t for s in self.specials):
-                out[i] = np.array(self._whole(t), self.kind).tobytes()
+            if any(c in t for c in _ODD) or any(s in t for s in self.specials):
+                out[i] = self._whole(t)
             else:
                 split.append((i, t.split()))
-        cache = self.cache
-        new = {w for _, words in split for w in words if w not in cache}
-        if new:
-            if len(cache) + len(new) > CACHE:
-                new = {w for _, words in split for w in words}
-            self._learn(sorted(new))
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        if len(self.bases) > CACHE:
+            self.bases.clear()
         get = self.cache.__getitem__
         for i, words in split:
             out[i] = b"".join(map(get, words))
@@ -126,11 +153,13 @@ def _tokenize(path: str, end: int):
 
 def _frequencies(width: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, docs, tokens = np.zeros(width, np.int64), 0, 0
+        total, at, docs, tokens = np.zeros(width, np.int64), np.zeros(width, np.int64), 0, 0
         for b in batches:
             for x in b.column(0).to_pylist():
                 ids = np.frombuffer(x, kind)
-                total += np.bincount(ids, minlength=width) > 0
+                order = np.arange(len(ids))
+                at[ids] = order
+                total[ids[at[ids] == order]] += 1  # each id where it comes last
                 docs, tokens = docs + 1, tokens + len(ids)
         if docs:
             met = np.flatnonzero(total)
@@ -146,11 +175,13 @@ class Shard:
         self.ids, self.docs = ids, docs
         n = len(docs)
         lengths = np.array([len(d) for d in docs])
-        owner = np.repeat(np.arange(n, dtype=np.int64), lengths)
         width = len(idf)
-        key = owner * width + np.concatenate(docs).astype(np.int64)
+        narrow = np.uint32 if n * width < 1 << 32 else np.int64  # sorts faster
+        owner = np.repeat(np.arange(n, dtype=narrow), lengths)
+        key = owner * narrow(width) + np.concatenate(docs)
         key, tf = np.unique(key, return_counts=True)
         doc, term = key // width, key % width
+        doc, term = doc.astype(np.int64), term.astype(np.int64)
         weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))).astype(np.float32)
         self.first = np.searchsorted(doc, np.arange(n + 1))
         self.term, self.weight = term, weight
