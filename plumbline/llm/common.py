@@ -14,7 +14,19 @@ from pyspark.sql import functions as F
 FILTER_BUCKETS = 1 << 19
 
 
+#: Rows of an Arrow batch; long texts make Spark's default a matter of hundreds of megabytes.
+ARROW_ROWS = 1024
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Workers get at most ARROW_ROWS rows at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) not in range(1, ARROW_ROWS + 1):
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +44,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        bounded_batches(spark)
         self.root = f"{shared_dir(spark)}/plumbline-{uuid.uuid4().hex}"
         self.count = 0
 

@@ -150,8 +150,7 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
     ranges = min(MAX_RANGES, max(1, n // RANGE_ROWS))
     cuts = sorted({int(x) for x in slim.stat.approxQuantile("_key", [i / ranges for i in range(1, ranges)], 0.2 / ranges)}) if ranges > 1 else []
     # range 0 has the largest ids
-    place = F.lit(len(cuts)) - sum((F.col("_key") > c).cast("int") for c in cuts) if len(cuts) < 16 else _by_search(docs.sparkSession, cuts)
-    placed = slim.withColumn("_range", place.cast("int"))
+    placed = slim.withColumn("_range", _place(cuts).cast("int"))
     heads = placed.groupBy("_range").agg(F.max("_key").alias("head")).orderBy("_range").collect()
     before = {h["head"]: heads[i - 1]["_range"] for i, h in enumerate(heads)}
     sent = F.broadcast(docs.sparkSession.createDataFrame(list(before.items()), "_key long, _to int"))
@@ -162,14 +161,11 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
     return ordered.select("_range", "doc_id", "text", "_guest").mapInArrow(_walk, _OUT)
 
 
-def _by_search(spark, cuts: list[int]):
-    """The range of a key by binary search over a constant array."""
-    steps = F.lit(0)
-    width = 1 << (len(cuts)).bit_length()
+def _place(cuts: list[int]):
+    """How many cuts are not below a key, by binary search in a constant array."""
+    if not cuts:
+        return F.lit(0)
     table = F.array(*[F.lit(c).cast("long") for c in cuts])
-    while width:
-        at = steps + width
-        # element_at of an index beyond the end is guarded by the comparison before it
-        steps = F.when((at <= len(cuts)) & (F.coalesce(F.try_element_at(table, at.cast("int")), F.lit((1 << 63) - 1)) < F.col("_key")), at).otherwise(steps)
-        width >>= 1
-    return F.lit(len(cuts)) - steps
+    widths = F.array(*[F.lit(1 << i) for i in range(len(cuts).bit_length() - 1, -1, -1)])
+    below = F.aggregate(widths, F.lit(0), lambda at, w: F.when(F.coalesce(F.try_element_at(table, at + w) < F.col("_key"), F.lit(False)), at + w).otherwise(at))
+    return F.lit(len(cuts)) - below

@@ -8,15 +8,21 @@ into the segments that lie in them; overlaps are counted segment by segment and
    MIN_COUNT times are summed, and the FREQUENT most frequent are broadcast (a fixed number of 16-byte
    rows). Counts only set the order: any order gives the same links;
 2. a second scan writes each document's set size, the digest of its set and its prefix, the
-   n - ceil(t * n) + 1 first shingles of the order. Two sets with Jaccard >= t share one of these;
+   n - ceil(t * n) + l first shingles of the order, where l is SPARE of n. Two sets with Jaccard >= t
+   share l of these, l taken for the smaller set;
 3. equal sets become one class, represented by the smallest doc_id, before anything is paired;
-4. prefix shingles of classes form lists, split by set size into bands (partners differ in size by at
-   most the factor t), and a list keeps only rows with a partner of fitting size;
+4. prefix shingles of classes form lists. A shingle is live for a class if its list holds another class
+   of fitting size (sizes differ by at most the factor t). Fewer than l live shingles: no partner.
+   Otherwise all but l - 1 of the live ones are enough, and the rarest, counted exactly over all
+   documents, are taken. What is left is split by set size into bands;
 5. links are found in rounds. A round of neighbours takes only consecutive rows of each list, once by
    size and once in a hashed order, so a group of m near copies costs m pairs, not m * m; what it links
    is contracted to components. The last round takes all remaining pairs of a list whose components
    differ, so no link between components is lost, and pairs inside a component need no check;
-6. a pair is checked by summing, over the fragments, the size of the intersection of its segments.
+6. a pair is checked twice. The sizes of its segments in PARTS finer fragments, which the scan has
+   written, bound its overlap by the sum of the smaller ones; this rules out nearly all pairs that met
+   by chance. For the others the segments themselves are made, and the sizes of their intersections
+   summed over the fragments.
 
 Counting links (`links`) needs each pair and isn't part of the component result.
 
@@ -27,6 +33,8 @@ repeat a doc_id with different texts are told apart by their sets and both link
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -35,52 +43,59 @@ from pyspark.sql import functions as F
 from plumbline.llm import textnum
 from plumbline.llm.common import Scratch, batch, components, lists, map_arrow, only_likely
 
+#: Share of a set by which its prefix is longer than one common shingle needs, in per cent.
+SPARE = 5
 #: A shingle must be met so often in one chunk of documents for its count to be kept.
 MIN_COUNT = 4
 #: Rows of the broadcast order.
 FREQUENT = 1 << 17
 #: Fragments of the order's hashed part; the frequent shingles are one more.
 FRAGMENTS = 4
+#: Finer fragments, by hash, of which only sizes are kept.
+PARTS = 128
 
-_SCAN = "doc_id long, n_shingles long, set_key string, prefix array<long>"
+_SCAN = "doc_id long, n_shingles long, set_key string, key long, prefix array<long>, sizes array<short>"
+_PAIR = ["ra", "ka", "na", "rb", "kb", "nb"]
 
 
-def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    out = []
     for lo, hi in textnum.chunks(texts):
         words = textnum.Words(texts[lo:hi], fold=True)
         runs = words.runs(k)
         for i in range(hi - lo):
             s, e = words.bounds(i)
             if e - s >= k:
-                out.append(np.unique(runs[s : e - k + 1]))
+                yield np.unique(runs[s : e - k + 1])
             else:
-                out.append(np.array([textnum.whole(words.hashes[s:e])] if e > s else [], np.uint64))
-    return out
+                yield np.array([textnum.whole(words.hashes[s:e])] if e > s else [], np.uint64)
 
 
 def _ceil_share(n: np.ndarray | int, num: int, den: int):
     return -(-n * num // den)
 
 
+def _spare(n):
+    return _ceil_share(n, SPARE, 100)
+
+
 def _counter(k: int):
-    def run(b: pa.RecordBatch):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
-        texts = b.column(0).to_pylist()
 
-        def flush():
+        def flush() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= MIN_COUNT
             return batch(s=pa.array(values[often].view(np.int64)), c=pa.array(counts[often].astype(np.int64)))
 
-        for x in shingle_sets(texts, k):
-            held.append(x)
-            size += len(x)
-            if size > 1 << 21:
-                yield flush()
-                held, size = [], 0
+        for b in batches:
+            for x in shingle_sets(b.column(0).to_pylist(), k):
+                held.append(x)
+                size += len(x)
+                if size > 1 << 21:
+                    yield flush()
+                    held, size = [], 0
         if held:
             yield flush()
 
@@ -97,34 +112,48 @@ def _ranks(values: np.ndarray, often: np.ndarray) -> np.ndarray:
 
 def _scanner(k: int, num: int, den: int, often):
     def run(b: pa.RecordBatch):
-        sets = shingle_sets(b.column(1).to_pylist(), k)
-        keys, sizes, parts, ends = [], [], [], [0]
-        for x in sets:
-            n = len(x)
-            keys.append(textnum.digest(x).hex() if n else None)
-            sizes.append(n)
-            rank = _ranks(x, often.value)
-            take = n - int(_ceil_share(n, num, den)) + 1 if n else 0
-            rare = x[rank < 0]
-            if len(rare) >= take:
-                parts.append(rare[:take])
-            else:
-                common = x[rank >= 0]
-                parts.append(np.concatenate([rare, common[np.argsort(rank[rank >= 0])][: take - len(rare)]]))
-            ends.append(ends[-1] + len(parts[-1]))
-        yield batch(doc_id=b.column(0), n_shingles=pa.array(sizes, pa.int64()), set_key=pa.array(keys, pa.string()), prefix=lists(np.concatenate(parts).view(np.int64), ends, pa.int64()))
+        texts = b.column(1).to_pylist()
+        for lo, hi in textnum.chunks(texts):
+            keys, short, sizes, parts, ends, fine = [], [], [], [], [0], []
+            for x in shingle_sets(texts[lo:hi], k):
+                n = len(x)
+                name = textnum.digest(x)
+                keys.append(name.hex() if n else None)
+                short.append(int.from_bytes(name[:8], "little", signed=True))
+                sizes.append(n)
+                rank = _ranks(x, often.value)
+                take = n - int(_ceil_share(n, num, den)) + int(_spare(n))
+                rare = x[rank < 0]
+                if len(rare) >= take:
+                    parts.append(rare[:take])
+                else:
+                    common = x[rank >= 0]
+                    parts.append(np.concatenate([rare, common[np.argsort(rank[rank >= 0])][: take - len(rare)]]))
+                ends.append(ends[-1] + len(parts[-1]))
+                # the lower bits, as the upper ones order the rare shingles
+                fine.append(np.minimum(np.bincount((x & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 32767))
+            yield batch(doc_id=b.column(0)[lo:hi], n_shingles=pa.array(sizes, pa.int64()), set_key=pa.array(keys, pa.string()), key=pa.array(short, pa.int64()), prefix=lists(np.concatenate(parts).view(np.int64), ends, pa.int64()), sizes=lists(np.concatenate(fine).astype(np.int16), np.arange(hi - lo + 1) * PARTS, pa.int16()))
 
     return run
 
 
 def _segmenter(k: int, often):
     def run(b: pa.RecordBatch):
-        ids = b.column(0).to_pylist()
-        for i, x in zip(ids, shingle_sets(b.column(1).to_pylist(), k), strict=True):
-            where = np.where(_ranks(x, often.value) >= 0, FRAGMENTS, (x >> np.uint64(62)).astype(np.int64) * FRAGMENTS // 4)
-            frags = np.unique(where)
-            flat = [x[where == f].view(np.int64) for f in frags]
-            yield batch(doc_id=pa.array([i] * len(frags), pa.int64()), set_key=pa.array([textnum.digest(x).hex()] * len(frags)), fragment=pa.array(frags.astype(np.int32)), segment=lists(np.concatenate(flat) if flat else [], np.concatenate([[0], np.cumsum([len(y) for y in flat])]), pa.int64()))
+        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+        for lo, hi in textnum.chunks(texts):
+            rep, key, fragment, flat, ends = [], [], [], [], [0]
+            for i, x in zip(ids[lo:hi], shingle_sets(texts[lo:hi], k), strict=True):
+                name = int.from_bytes(textnum.digest(x)[:8], "little", signed=True)
+                where = np.where(_ranks(x, often.value) >= 0, FRAGMENTS, (x >> np.uint64(62)).astype(np.int64) * FRAGMENTS // 4)
+                for f in np.unique(where).tolist():
+                    own = x[where == f]
+                    rep.append(i)
+                    key.append(name)
+                    fragment.append(f)
+                    flat.append(own)
+                    ends.append(ends[-1] + len(own))
+            if flat:
+                yield batch(rep=pa.array(rep, pa.int64()), key=pa.array(key, pa.int64()), fragment=pa.array(fragment, pa.int32()), segment=lists(np.concatenate(flat).view(np.int64), ends, pa.int64()))
 
     return run
 
@@ -143,10 +172,9 @@ class NgramJoin:
         self.scan = self.scratch.save(map_arrow(self.docs, _scanner(k, num, den, self.often), _SCAN))
         self.members = self._classes()
         self.rows = self._lists()
-        self.segments = self._segments()
 
     def _order(self) -> np.ndarray:
-        counts = map_arrow(self.docs.select("text"), _counter(self.k), "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
+        counts = self.docs.select("text").mapInArrow(_counter(self.k), "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
         top = counts.orderBy(F.desc("c"), "s").limit(FREQUENT).toPandas()
         out = np.zeros(len(top), [("s", np.uint64), ("r", np.int64)])
         out["s"] = top["s"].to_numpy().astype(np.int64).view(np.uint64)
@@ -159,52 +187,71 @@ class NgramJoin:
         return self.scratch.save(named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")))
 
     def _lists(self) -> DataFrame:
-        """(s, band, rep, set_key, n): the rows of lists that have a partner of fitting size.
+        """(s, band, rep, key, n): the rows of lists that have a partner of fitting size.
 
-        A class is named by its rep and set_key, as rows with one doc_id may have several sets.
+        A class is named by its rep and a key of its set, as rows with one doc_id may have several sets.
         """
-        one = self.scan.where("set_key is not null").select(F.col("doc_id").alias("rep"), "set_key", F.col("n_shingles").alias("n"), "prefix")
-        one = one.join(self.members.select("rep", "set_key"), ["rep", "set_key"]).dropDuplicates(["rep", "set_key"])
-        posts = one.select("rep", "set_key", "n", F.explode("prefix").alias("s"))
-        near = Window.partitionBy("s").orderBy("n", "rep", "set_key")
-        fits = (F.col("n") * self.num <= F.lag("n").over(near) * self.den) | (F.lead("n").over(near) * self.num <= F.col("n") * self.den)
-        posts = posts.withColumn("_fits", fits).where("_fits").drop("_fits")
+        one = self.scan.where("set_key is not null").select(F.col("doc_id").alias("rep"), "set_key", "key", F.col("n_shingles").cast("int").alias("n"), "prefix")
+        one = one.join(self.members.select("rep", "set_key"), ["rep", "set_key"])
+        posts = one.select("rep", "key", "n", F.explode("prefix").alias("s"))
+        live = self._live(posts)
+        live = live.withColumn("_df", F.count("*").over(Window.partitionBy("s")))
+        own = Window.partitionBy("rep", "key")
+        # the smallest partner's l, in whole numbers as in the scan
+        least = F.ceil((F.ceil(F.col("n") * self.num / self.den - 1e-9) * SPARE) / 100 - 1e-9)
+        live = live.withColumn("_live", F.count("*").over(own)).withColumn("_rank", F.row_number().over(own.orderBy("_df", "s")))
+        posts = self._live(live.where(F.col("_rank") <= F.col("_live") - least + 1).select("rep", "key", "n", "s"))
         if self.num == self.den:
             band = F.array(F.col("n"))
         else:
             # 1e-9 keeps a size at a band's edge in one band or the other, and each is also in the next
-            low = F.floor(F.log(F.col("n").cast("double")) / float(np.log(self.den / self.num)) + 1e-9)
+            low = F.floor(F.log(F.col("n").cast("double")) / float(np.log(self.den / self.num)) + 1e-9).cast("int")
             band = F.array(low, low + 1)
-        return self.scratch.save(posts.select("s", F.explode(band).alias("band"), "rep", "set_key", "n"))
-
-    def _segments(self) -> DataFrame:
-        wanted = self.rows.select("rep", "set_key").distinct()
-        likely = only_likely(self.docs.where("doc_id is not null"), ["doc_id"], wanted.select(F.col("rep").alias("doc_id")))
-        made = map_arrow(likely, _segmenter(self.k, self.often), "doc_id long, set_key string, fragment int, segment array<long>")
-        keep = made.join(wanted.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi")
-        return self.scratch.save(keep.select("set_key", "fragment", "segment").dropDuplicates(["set_key", "fragment"]))
+        return self.scratch.save(posts.select("s", F.explode(band).alias("band"), "rep", "key", "n"))
+
+    def _live(self, posts: DataFrame) -> DataFrame:
+        """The rows (s, rep, key, n) whose list holds another class of fitting size."""
+        near = Window.partitionBy("s").orderBy("n", "rep", "key")
+        # rows that repeat an id and a set are one class
+        again = F.coalesce(F.lag(F.struct("rep", "key")).over(near) == F.struct("rep", "key"), F.lit(False))
+        posts = posts.withColumn("_again", again).where("not _again").drop("_again")
+        fits = (F.col("n") * self.num <= F.lag("n").over(near) * self.den) | (F.lead("n").over(near) * self.num <= F.col("n") * self.den)
+        return posts.withColumn("_fits", fits).where("_fits").drop("_fits")
+
+    def _bounded(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose overlap the sizes of their fine segments don't rule out."""
+        sizes = self.scan.where("set_key is not null").select("doc_id", "key", "sizes")
+        left = sizes.select(F.col("doc_id").alias("ra"), F.col("key").alias("ka"), F.col("sizes").alias("sa"))
+        right = sizes.select(F.col("doc_id").alias("rb"), F.col("key").alias("kb"), F.col("sizes").alias("sb"))
+        # a size at the type's limit may be larger
+        most = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when((x == 32767) & (y == 32767), F.least("na", "nb")).otherwise(F.least(x, y))), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+        both = pairs.join(left, ["ra", "ka"]).join(right, ["rb", "kb"]).withColumn("_most", most)
+        return both.where(F.col("_most") * self.den >= (F.col("na") + F.col("nb") - F.col("_most")) * self.num).select(*_PAIR).distinct()
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b set keys with ids ra, rb and sizes na, nb) that reach the threshold."""
-        left = pairs.join(self.segments.select(F.col("set_key").alias("a"), "fragment", F.col("segment").alias("sa")), "a")
-        both = left.join(self.segments.select(F.col("set_key").alias("b"), "fragment", F.col("segment").alias("sb")), ["b", "fragment"])
-        part = both.select("a", "b", "ra", "rb", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o"))
-        summed = part.groupBy("a", "b", "ra", "rb", "na", "nb").agg(F.sum("o").alias("o"))
+        """The pairs that reach the threshold, with their overlap o."""
+        pairs = self.scratch.save(self._bounded(pairs))
+        wanted = pairs.select(F.explode(F.array("ra", "rb")).alias("doc_id"))
+        likely = only_likely(self.docs.where("doc_id is not null"), ["doc_id"], wanted)
+        segments = self.scratch.save(map_arrow(likely, _segmenter(self.k, self.often), "rep long, key long, fragment int, segment array<long>"))
+        left = pairs.join(segments.select(F.col("rep").alias("ra"), F.col("key").alias("ka"), "fragment", F.col("segment").alias("sa")), ["ra", "ka"])
+        both = left.join(segments.select(F.col("rep").alias("rb"), F.col("key").alias("kb"), "fragment", F.col("segment").alias("sb")), ["rb", "kb", "fragment"])
+        part = both.select(*_PAIR, "fragment", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o")).distinct()
+        summed = part.groupBy(*_PAIR).agg(F.sum("o").alias("o"))
         return summed.where(F.col("o") * self.den >= (F.col("na") + F.col("nb") - F.col("o")) * self.num)
 
-    def _pairs(self, left: str, right: str) -> list:
-        return [F.col(f"{left}.set_key").alias("a"), F.col(f"{right}.set_key").alias("b"), F.col(f"{left}.rep").alias("ra"), F.col(f"{right}.rep").alias("rb"), F.col(f"{left}.n").alias("na"), F.col(f"{right}.n").alias("nb")]
-
     def _neighbours(self, rows: DataFrame, order: list) -> DataFrame:
         """Consecutive rows of each list, in this order, whose labels differ."""
-        me = F.struct("set_key", "rep", "n", "label")
+        me = F.struct("rep", "key", "n", "label")
         w = Window.partitionBy("s", "band").orderBy(*order)
         two = rows.select(me.alias("x"), F.lag(me).over(w).alias("y")).where("y is not null and x.label <> y.label")
-        a, b = F.when(F.col("x.set_key") < F.col("y.set_key"), F.col("x")).otherwise(F.col("y")), F.when(F.col("x.set_key") < F.col("y.set_key"), F.col("y")).otherwise(F.col("x"))
-        return self._fitting(two.select(a.alias("l"), b.alias("r")).select(*self._pairs("l", "r")).distinct())
+        return self._ordered(two)
 
-    def _fitting(self, pairs: DataFrame) -> DataFrame:
-        return pairs.where(F.least("na", "nb") * self.den >= F.greatest("na", "nb") * self.num)
+    def _ordered(self, two: DataFrame) -> DataFrame:
+        """Distinct pairs of fitting sizes from structs x and y, the smaller first."""
+        a, b = F.least("x", "y"), F.greatest("x", "y")
+        flat = two.select(a.alias("a"), b.alias("b")).select(F.col("a.rep").alias("ra"), F.col("a.key").alias("ka"), F.col("a.n").alias("na"), F.col("b.rep").alias("rb"), F.col("b.key").alias("kb"), F.col("b.n").alias("nb"))
+        return flat.where(F.least("na", "nb") * self.den >= F.greatest("na", "nb") * self.num).distinct()
 
     def _labelled(self, rows: DataFrame, links: DataFrame) -> DataFrame:
         """The rows of lists that still have two labels."""
@@ -216,20 +263,21 @@ class NgramJoin:
     def connecting_links(self) -> DataFrame:
         """Links (ra, rb) that connect everything that all links connect."""
         rows = self.rows.withColumn("label", F.col("rep"))
-        links = self.scratch.save(self._verified(self._neighbours(rows, ["n", "rep", "set_key"])).select("ra", "rb"))
+        links = self.scratch.save(self._verified(self._neighbours(rows, ["n", "rep", "key"])).select("ra", "rb"))
         rows = self._labelled(self.rows, links)
-        more = self.scratch.save(self._verified(self._neighbours(rows, [F.xxhash64("set_key"), F.col("set_key")])).select("ra", "rb"))
-        links = links.unionAll(more)
+        links = links.unionAll(self.scratch.save(self._verified(self._neighbours(rows, [F.xxhash64("rep", "key"), F.col("rep")])).select("ra", "rb")))
         rows = self._labelled(rows.drop("label"), links)
         return links.unionAll(self._verified(self._rest(rows)).select("ra", "rb"))
 
     def _rest(self, rows: DataFrame) -> DataFrame:
-        on = (F.col("l.s") == F.col("r.s")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.label") != F.col("r.label")) & (F.col("l.set_key") < F.col("r.set_key")) & (F.least("l.n", "r.n") * self.den >= F.greatest("l.n", "r.n") * self.num)
-        return rows.alias("l").join(rows.alias("r"), on).select(*self._pairs("l", "r")).distinct()
+        """All pairs of a list whose labels differ."""
+        on = (F.col("l.s") == F.col("r.s")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.label") < F.col("r.label")) & (F.least("l.n", "r.n") * self.den >= F.greatest("l.n", "r.n") * self.num)
+        both = rows.alias("l").join(rows.alias("r"), on)
+        return self._ordered(both.select(F.struct("l.rep", "l.key", "l.n").alias("x"), F.struct("r.rep", "r.key", "r.n").alias("y")))
 
     def links(self) -> DataFrame:
         """Every link between classes: (ra, rb, jaccard); copies are in `members`."""
-        found = self._verified(self._rest(self.rows.withColumn("label", F.col("set_key"))))
+        found = self._verified(self._rest(self.rows.withColumn("label", F.struct("rep", "key"))))
         return found.select("ra", "rb", (F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).alias("jaccard"))
 
     def classes(self) -> DataFrame:
