@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from plumbline.llm import textnum
 from plumbline.llm.common import batch
 
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 6_000
 WORDS = 60_000
 GRAMS = 8_000
 MAX_GRAM = 5
-CACHE = 300_000
+CACHE = 60_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")

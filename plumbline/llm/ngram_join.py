@@ -18,7 +18,9 @@ into the segments that lie in them; overlaps are counted segment by segment and
 5. links are found in rounds. A round of neighbours takes only consecutive rows of each list, once by
    size and once in a hashed order, so a group of m near copies costs m pairs, not m * m; what it links
    is contracted to components. The last round takes all remaining pairs of a list whose components
-   differ, so no link between components is lost, and pairs inside a component need no check;
+   differ, so no link between components is lost, and pairs inside a component need no check. Lists of
+   more than SMALL rows aren't paired: the classes that such lists connect are compared in blocks of
+   BLOCK rows against each other by the bound of step 6, and only pairs that it passes leave a block;
 6. a pair is checked twice. The sizes of its segments in PARTS finer fragments, which the scan has
    written, bound its overlap by the sum of the smaller ones; this rules out nearly all pairs that met
    by chance. For the others the segments themselves are made, and the sizes of their intersections
@@ -36,6 +38,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,10 +55,14 @@ FREQUENT = 1 << 17
 #: Fragments of the order's hashed part; the frequent shingles are one more.
 FRAGMENTS = 4
 #: Finer fragments, by hash, of which only sizes are kept.
-PARTS = 128
+PARTS = 512
+#: Lists of more rows are compared in blocks.
+SMALL = 64
+BLOCK = 512
 
-_SCAN = "doc_id long, n_shingles long, set_key string, key long, prefix array<long>, sizes array<short>"
+_SCAN = "doc_id long, n_shingles long, set_key string, key long, prefix array<long>, sizes binary"
 _PAIR = ["ra", "ka", "na", "rb", "kb", "nb"]
+_PAIR_SCHEMA = "ra long, ka long, na int, rb long, kb long, nb int"
 
 
 def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
@@ -93,7 +100,7 @@ def _counter(k: int):
             for x in shingle_sets(b.column(0).to_pylist(), k):
                 held.append(x)
                 size += len(x)
-                if size > 1 << 21:
+                if size > 1 << 20:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -131,8 +138,8 @@ def _scanner(k: int, num: int, den: int, often):
                     parts.append(np.concatenate([rare, common[np.argsort(rank[rank >= 0])][: take - len(rare)]]))
                 ends.append(ends[-1] + len(parts[-1]))
                 # the lower bits, as the upper ones order the rare shingles
-                fine.append(np.minimum(np.bincount((x & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 32767))
-            yield batch(doc_id=b.column(0)[lo:hi], n_shingles=pa.array(sizes, pa.int64()), set_key=pa.array(keys, pa.string()), key=pa.array(short, pa.int64()), prefix=lists(np.concatenate(parts).view(np.int64), ends, pa.int64()), sizes=lists(np.concatenate(fine).astype(np.int16), np.arange(hi - lo + 1) * PARTS, pa.int16()))
+                fine.append(np.minimum(np.bincount((x & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes())
+            yield batch(doc_id=b.column(0)[lo:hi], n_shingles=pa.array(sizes, pa.int64()), set_key=pa.array(keys, pa.string()), key=pa.array(short, pa.int64()), prefix=lists(np.concatenate(parts).view(np.int64), ends, pa.int64()), sizes=pa.array(fine, pa.binary()))
 
     return run
 
@@ -158,6 +165,53 @@ def _segmenter(k: int, often):
     return run
 
 
+def _likely(most: np.ndarray, na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
+    most = np.minimum(most, np.minimum(na, nb))
+    return (most * den >= (na + nb - most) * num) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A bound of the overlap of sets by their segments' sizes; full where a size may be larger."""
+    low = np.minimum(a, b)
+    return np.where((low == 255).any(axis=-1), np.int64(1) << 40, low.sum(axis=-1, dtype=np.int64))
+
+
+def _matrix(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, PARTS)
+
+
+def _bounder(num: int, den: int):
+    def run(b: pa.RecordBatch):
+        a, c = _matrix(b.column("sa").to_pylist()), _matrix(b.column("sb").to_pylist())
+        keep = _likely(_overlap(a, c), b.column("na").to_numpy().astype(np.int64), b.column("nb").to_numpy().astype(np.int64), num, den)
+        return b.select(_PAIR).filter(pa.array(keep))
+
+    return run
+
+
+def _block(num: int, den: int):
+    """The likely pairs between two blocks, or inside one, with different labels."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, _, i, j = key
+        pdf = pdf.sort_values(["rep", "key", "label"], kind="stable").reset_index(drop=True)
+        size, n, label, rep = _matrix(pdf["sizes"]), pdf["n"].to_numpy().astype(np.int64), pdf["label"].to_numpy(), pdf["rep"].to_numpy()
+        left, right = np.flatnonzero(pdf["block"] == i), np.flatnonzero(pdf["block"] == j)
+        found = []
+        for x in left:
+            ys = right[(label[right] != label[x]) & ((right > x) if i == j else True)]
+            ys = ys[np.minimum(n[ys], n[x]) * den >= np.maximum(n[ys], n[x]) * num]
+            if len(ys):
+                ys = ys[_likely(_overlap(size[x][None, :], size[ys]), np.full(len(ys), n[x]), n[ys], num, den)]
+                found += [(x, y) for y in ys.tolist()]
+        k = pdf["key"].to_numpy()
+        a = np.array([(x, y) if (rep[x], k[x]) < (rep[y], k[y]) else (y, x) for x, y in found], np.int64).reshape(-1, 2)
+        x, y = a[:, 0], a[:, 1]
+        return pd.DataFrame({"ra": rep[x], "ka": k[x], "na": n[x].astype(np.int32), "rb": rep[y], "kb": k[y], "nb": n[y].astype(np.int32)})
+
+    return run
+
+
 class NgramJoin:
     """The join of one table of documents (doc_id, text), at Jaccard >= num / den."""
 
@@ -220,17 +274,30 @@ class NgramJoin:
 
     def _bounded(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose overlap the sizes of their fine segments don't rule out."""
-        sizes = self.scan.where("set_key is not null").select("doc_id", "key", "sizes")
-        left = sizes.select(F.col("doc_id").alias("ra"), F.col("key").alias("ka"), F.col("sizes").alias("sa"))
-        right = sizes.select(F.col("doc_id").alias("rb"), F.col("key").alias("kb"), F.col("sizes").alias("sb"))
-        # a size at the type's limit may be larger
-        most = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when((x == 32767) & (y == 32767), F.least("na", "nb")).otherwise(F.least(x, y))), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
-        both = pairs.join(left, ["ra", "ka"]).join(right, ["rb", "kb"]).withColumn("_most", most)
-        return both.where(F.col("_most") * self.den >= (F.col("na") + F.col("nb") - F.col("_most")) * self.num).select(*_PAIR).distinct()
+        left = self._sizes().select(F.col("doc_id").alias("ra"), F.col("key").alias("ka"), F.col("sizes").alias("sa"))
+        right = self._sizes().select(F.col("doc_id").alias("rb"), F.col("key").alias("kb"), F.col("sizes").alias("sb"))
+        both = pairs.join(left, ["ra", "ka"]).join(right, ["rb", "kb"]).select(*_PAIR, "sa", "sb")
+        return map_arrow(both, _bounder(self.num, self.den), _PAIR_SCHEMA)
+
+    def _sizes(self) -> DataFrame:
+        """One row for each class and id."""
+        return self.scan.where("set_key is not null").select("doc_id", "key", "sizes")
+
+    def _blocks(self, rows: DataFrame) -> DataFrame:
+        """Pairs among the classes that large lists connect, by bound and block."""
+        edges = rows.join(rows.groupBy("s", "band").agg(F.min("rep").alias("least")), ["s", "band"]).select(F.col("rep").alias("a"), F.col("least").alias("b"))
+        families = components(edges, self.scratch).select(F.col("id").alias("rep"), F.col("component").alias("family"))
+        one = rows.select("rep", "key", "n", "band", "label").distinct().join(families, "rep")
+        full = self.scratch.save(one.join(self._sizes().withColumnRenamed("doc_id", "rep"), ["rep", "key"]))
+        count = full.groupBy("family", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        dealt = full.join(count, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "_o"), "j": F.greatest("block", "_o")})
+        cells = dealt.select("family", "band", "i", "j", "block", "rep", "key", "n", "label", "sizes").groupBy("family", "band", "i", "j")
+        return cells.applyInPandas(_block(self.num, self.den), _PAIR_SCHEMA)
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that reach the threshold, with their overlap o."""
-        pairs = self.scratch.save(self._bounded(pairs))
+        pairs = self.scratch.save(pairs.distinct())
         wanted = pairs.select(F.explode(F.array("ra", "rb")).alias("doc_id"))
         likely = only_likely(self.docs.where("doc_id is not null"), ["doc_id"], wanted)
         segments = self.scratch.save(map_arrow(likely, _segmenter(self.k, self.often), "rep long, key long, fragment int, segment array<long>"))
@@ -263,21 +330,24 @@ class NgramJoin:
     def connecting_links(self) -> DataFrame:
         """Links (ra, rb) that connect everything that all links connect."""
         rows = self.rows.withColumn("label", F.col("rep"))
-        links = self.scratch.save(self._verified(self._neighbours(rows, ["n", "rep", "key"])).select("ra", "rb"))
+        links = self.scratch.save(self._verified(self._bounded(self._neighbours(rows, ["n", "rep", "key"]))).select("ra", "rb"))
         rows = self._labelled(self.rows, links)
-        links = links.unionAll(self.scratch.save(self._verified(self._neighbours(rows, [F.xxhash64("rep", "key"), F.col("rep")])).select("ra", "rb")))
+        links = links.unionAll(self.scratch.save(self._verified(self._bounded(self._neighbours(rows, [F.xxhash64("rep", "key"), F.col("rep")]))).select("ra", "rb")))
         rows = self._labelled(rows.drop("label"), links)
         return links.unionAll(self._verified(self._rest(rows)).select("ra", "rb"))
 
     def _rest(self, rows: DataFrame) -> DataFrame:
-        """All pairs of a list whose labels differ."""
+        """All pairs of a list whose labels differ and whose sizes don't rule a link out."""
+        rows = self.scratch.save(rows.withColumn("_rows", F.count("*").over(Window.partitionBy("s", "band"))))
+        few, many = rows.where(F.col("_rows") <= SMALL).drop("_rows"), rows.where(F.col("_rows") > SMALL).drop("_rows")
         on = (F.col("l.s") == F.col("r.s")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.label") < F.col("r.label")) & (F.least("l.n", "r.n") * self.den >= F.greatest("l.n", "r.n") * self.num)
-        both = rows.alias("l").join(rows.alias("r"), on)
-        return self._ordered(both.select(F.struct("l.rep", "l.key", "l.n").alias("x"), F.struct("r.rep", "r.key", "r.n").alias("y")))
+        both = few.alias("l").join(few.alias("r"), on)
+        pairs = self._bounded(self._ordered(both.select(F.struct("l.rep", "l.key", "l.n").alias("x"), F.struct("r.rep", "r.key", "r.n").alias("y"))))
+        return pairs.unionAll(self._blocks(many)) if many.limit(1).count() else pairs
 
     def links(self) -> DataFrame:
         """Every link between classes: (ra, rb, jaccard); copies are in `members`."""
-        found = self._verified(self._rest(self.rows.withColumn("label", F.struct("rep", "key"))))
+        found = self._verified(self._rest(self.rows.withColumn("label", F.xxhash64("rep", "key"))))
         return found.select("ra", "rb", (F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).alias("jaccard"))
 
     def classes(self) -> DataFrame:
