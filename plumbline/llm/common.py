@@ -87,6 +87,15 @@ def lists(values, offsets, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
+def sampled(docs: DataFrame, chosen: DataFrame, rows: int) -> DataFrame:
+    """docs joined with at most so many rows of chosen (doc_id, ...), those of smallest hash of doc_id.
+
+    Only ids are put in order; the chosen ones, at most `rows`, are broadcast, so texts aren't shuffled.
+    """
+    ids = chosen.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", *chosen.columns).limit(rows).drop("_h")
+    return docs.join(F.broadcast(ids), "doc_id")
+
+
 def only_likely(df: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
     """The rows of df whose keys may be among wanted's: a filter of at most FILTER_BUCKETS numbers.
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import textnum
-from plumbline.llm.common import batch
+from plumbline.llm.common import batch, sampled
 
 SAMPLE_ROWS = 6_000
 WORDS = 60_000
@@ -115,7 +115,8 @@ class Model:
 
 def train(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """A model from labelled (doc_id, text, lang), of which at most so many rows are used."""
-    sample = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "lang").limit(rows)
+    known = labelled.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
+    sample = sampled(known, known.select("doc_id").distinct(), rows)
     counts = sample.select("text", "lang").repartition(sample.sparkSession.sparkContext.defaultParallelism).mapInArrow(_count, "lang string, kind int, key string, n long")
     each = counts.groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
     totals: dict[int, dict[str, int]] = {}

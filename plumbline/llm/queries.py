@@ -25,8 +25,7 @@ def tokenizer(name: str) -> str:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     remainder = language_id.fold("doc_id", 5)
-    known = docs.select("doc_id", "text").where(remainder != 0).join(labels.select("doc_id", "toxic").where("toxic is not null").dropDuplicates(["doc_id"]), "doc_id")
-    return toxicity.score(docs, toxicity.train(known), remainder == 0)
+    return toxicity.score(docs, toxicity.train(docs, labels.where(remainder != 0)), remainder == 0)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

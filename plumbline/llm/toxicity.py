@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import batch
+from plumbline.llm.common import batch, sampled
 
 SAMPLE_ROWS = 20_000
 MIN_TOXIC = 8
@@ -182,12 +182,13 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(v) for v in beta)
 
 
-def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, words: dict[str, float] | None = None, exceptions: set[str] | None = None) -> Model:
-    """A model from labelled (doc_id, text, toxic), of which at most so many rows are used."""
-    sc = labelled.sparkSession.sparkContext
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, words: dict[str, float] | None = None, exceptions: set[str] | None = None) -> Model:
+    """A model from docs (doc_id, text) and labels (doc_id, toxic), of which at most so many are used."""
+    sc = docs.sparkSession.sparkContext
     given = {fold(w): x for w, x in (words or {}).items()}
     phrases = {fold(p) for p in exceptions or ()}
-    sample = labelled.where("toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("_h")).orderBy("_h", "toxic").limit(rows).select("text", "toxic").repartition(sc.defaultParallelism).persist()
+    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    sample = sampled(docs.select("doc_id", "text"), marks, rows).select("text", "toxic").repartition(sc.defaultParallelism).persist()
     try:
         n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
         clean, toxic = n.get(0, 0), n.get(1, 0)
