@@ -15,7 +15,7 @@ FILTER_BUCKETS = 1 << 19
 
 
 #: Rows of an Arrow batch; long texts make Spark's default a matter of hundreds of megabytes.
-ARROW_ROWS = 1024
+ARROW_ROWS = 256
 
 
 def bounded_batches(spark: SparkSession) -> None:

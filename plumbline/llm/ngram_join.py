@@ -100,7 +100,7 @@ def _counter(k: int):
             for x in shingle_sets(b.column(0).to_pylist(), k):
                 held.append(x)
                 size += len(x)
-                if size > 1 << 20:
+                if size > 1 << 19:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -226,6 +226,10 @@ class NgramJoin:
         self.scan = self.scratch.save(map_arrow(self.docs, _scanner(k, num, den, self.often), _SCAN))
         self.members = self._classes()
         self.rows = self._lists()
+        # texts are read once more, for the documents that are left in lists
+        likely = only_likely(self.docs.where("doc_id is not null"), ["doc_id"], self.rows.select(F.col("rep").alias("doc_id")).distinct())
+        made = map_arrow(likely, _segmenter(k, self.often), "rep long, key long, fragment int, segment array<long>")
+        self.segments = self.scratch.save(made.join(self.rows.select("rep", "key").distinct(), ["rep", "key"], "left_semi"))
 
     def _order(self) -> np.ndarray:
         counts = self.docs.select("text").mapInArrow(_counter(self.k), "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
@@ -298,9 +302,7 @@ class NgramJoin:
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that reach the threshold, with their overlap o."""
         pairs = self.scratch.save(pairs.distinct())
-        wanted = pairs.select(F.explode(F.array("ra", "rb")).alias("doc_id"))
-        likely = only_likely(self.docs.where("doc_id is not null"), ["doc_id"], wanted)
-        segments = self.scratch.save(map_arrow(likely, _segmenter(self.k, self.often), "rep long, key long, fragment int, segment array<long>"))
+        segments = self.segments
         left = pairs.join(segments.select(F.col("rep").alias("ra"), F.col("key").alias("ka"), "fragment", F.col("segment").alias("sa")), ["ra", "ka"])
         both = left.join(segments.select(F.col("rep").alias("rb"), F.col("key").alias("kb"), "fragment", F.col("segment").alias("sb")), ["rb", "kb", "fragment"])
         part = both.select(*_PAIR, "fragment", F.size(F.array_intersect("sa", "sb")).cast("long").alias("o")).distinct()

@@ -16,7 +16,7 @@ import numpy as np
 
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Texts are hashed in chunks of about so many bytes, which bounds the memory that a worker needs.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 17
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 5
