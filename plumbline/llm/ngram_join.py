@@ -21,9 +21,10 @@ into the segments that lie in them; overlaps are counted segment by segment and
    differ, so no link between components is lost, and pairs inside a component need no check. Lists of
    more than SMALL rows aren't paired: the classes that such lists connect are compared in blocks of
    BLOCK rows against each other by the bound of step 6, and only pairs that it passes leave a block;
-6. a pair is checked twice. The sizes of its segments in PARTS finer fragments, which the scan has
-   written, bound its overlap by the sum of the smaller ones; this rules out nearly all pairs that met
-   by chance. For the others the segments themselves are made, and the sizes of their intersections
+6. a pair is checked three times. The sizes of its segments in PARTS finer fragments, which the scan
+   has written, bound its overlap by the sum of the smaller ones; this rules out nearly all pairs that
+   met by chance. Sums of these sizes, COARSE numbers for a set, are compared before the sizes, so few
+   pairs fetch the longer ones. For the others the segments themselves are made, and the sizes of their intersections
    summed over the fragments.
 
 Counting links (`links`) needs each pair and isn't part of the component result.
@@ -56,11 +57,13 @@ FREQUENT = 1 << 17
 FRAGMENTS = 4
 #: Finer fragments, by hash, of which only sizes are kept.
 PARTS = 512
+#: Sums over the finer fragments, which bound a pair first as they are short.
+COARSE = 64
 #: Lists of more rows are compared in blocks.
 SMALL = 64
 BLOCK = 512
 
-_SCAN = "doc_id long, n_shingles long, set_key string, key long, prefix array<long>, sizes binary"
+_SCAN = "doc_id long, n_shingles long, set_key string, key long, prefix array<long>, coarse binary, sizes binary"
 _PAIR = ["ra", "ka", "na", "rb", "kb", "nb"]
 _PAIR_SCHEMA = "ra long, ka long, na int, rb long, kb long, nb int"
 
@@ -117,11 +120,15 @@ def _ranks(values: np.ndarray, often: np.ndarray) -> np.ndarray:
     return np.where(often["s"][at] == values, often["r"][at], -1)
 
 
+def _bytes(counts: np.ndarray) -> bytes:
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 def _scanner(k: int, num: int, den: int, often):
     def run(b: pa.RecordBatch):
         texts = b.column(1).to_pylist()
         for lo, hi in textnum.chunks(texts):
-            keys, short, sizes, parts, ends, fine = [], [], [], [], [0], []
+            keys, short, sizes, parts, ends, coarse, fine = [], [], [], [], [0], [], []
             for x in shingle_sets(texts[lo:hi], k):
                 n = len(x)
                 name = textnum.digest(x)
@@ -138,8 +145,10 @@ def _scanner(k: int, num: int, den: int, often):
                     parts.append(np.concatenate([rare, common[np.argsort(rank[rank >= 0])][: take - len(rare)]]))
                 ends.append(ends[-1] + len(parts[-1]))
                 # the lower bits, as the upper ones order the rare shingles
-                fine.append(np.minimum(np.bincount((x & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes())
-            yield batch(doc_id=b.column(0)[lo:hi], n_shingles=pa.array(sizes, pa.int64()), set_key=pa.array(keys, pa.string()), key=pa.array(short, pa.int64()), prefix=lists(np.concatenate(parts).view(np.int64), ends, pa.int64()), sizes=pa.array(fine, pa.binary()))
+                counts = np.bincount((x & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
+                coarse.append(_bytes(counts.reshape(-1, COARSE).sum(axis=0)))
+                fine.append(_bytes(counts))
+            yield batch(doc_id=b.column(0)[lo:hi], n_shingles=pa.array(sizes, pa.int64()), set_key=pa.array(keys, pa.string()), key=pa.array(short, pa.int64()), prefix=lists(np.concatenate(parts).view(np.int64), ends, pa.int64()), coarse=pa.array(coarse, pa.binary()), sizes=pa.array(fine, pa.binary()))
 
     return run
 
@@ -177,7 +186,7 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, PARTS)
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
 
 
 def _bounder(num: int, den: int):
@@ -195,7 +204,7 @@ def _block(num: int, den: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, _, i, j = key
         pdf = pdf.sort_values(["rep", "key", "label"], kind="stable").reset_index(drop=True)
-        size, n, label, rep = _matrix(pdf["sizes"]), pdf["n"].to_numpy().astype(np.int64), pdf["label"].to_numpy(), pdf["rep"].to_numpy()
+        size, n, label, rep = _matrix(pdf["sizes"].tolist()), pdf["n"].to_numpy().astype(np.int64), pdf["label"].to_numpy(), pdf["rep"].to_numpy()
         left, right = np.flatnonzero(pdf["block"] == i), np.flatnonzero(pdf["block"] == j)
         found = []
         for x in left:
@@ -277,22 +286,26 @@ class NgramJoin:
         return posts.withColumn("_fits", fits).where("_fits").drop("_fits")
 
     def _bounded(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose overlap the sizes of their fine segments don't rule out."""
-        left = self._sizes().select(F.col("doc_id").alias("ra"), F.col("key").alias("ka"), F.col("sizes").alias("sa"))
-        right = self._sizes().select(F.col("doc_id").alias("rb"), F.col("key").alias("kb"), F.col("sizes").alias("sb"))
-        both = pairs.join(left, ["ra", "ka"]).join(right, ["rb", "kb"]).select(*_PAIR, "sa", "sb")
-        return map_arrow(both, _bounder(self.num, self.den), _PAIR_SCHEMA)
-
-    def _sizes(self) -> DataFrame:
+        """The pairs whose overlap the sizes of their segments, coarse and then fine, don't rule out."""
+        for column in ("coarse", "sizes"):
+            left = self._sizes(column).select(F.col("doc_id").alias("ra"), F.col("key").alias("ka"), F.col(column).alias("sa"))
+            right = self._sizes(column).select(F.col("doc_id").alias("rb"), F.col("key").alias("kb"), F.col(column).alias("sb"))
+            both = pairs.join(left, ["ra", "ka"]).join(right, ["rb", "kb"]).select(*_PAIR, "sa", "sb")
+            pairs = map_arrow(both, _bounder(self.num, self.den), _PAIR_SCHEMA)
+            if column == "coarse":
+                pairs = self.scratch.save(pairs)
+        return pairs
+
+    def _sizes(self, column: str) -> DataFrame:
         """One row for each class and id."""
-        return self.scan.where("set_key is not null").select("doc_id", "key", "sizes")
+        return self.scan.where("set_key is not null").select("doc_id", "key", column)
 
     def _blocks(self, rows: DataFrame) -> DataFrame:
         """Pairs among the classes that large lists connect, by bound and block."""
         edges = rows.join(rows.groupBy("s", "band").agg(F.min("rep").alias("least")), ["s", "band"]).select(F.col("rep").alias("a"), F.col("least").alias("b"))
         families = components(edges, self.scratch).select(F.col("id").alias("rep"), F.col("component").alias("family"))
         one = rows.select("rep", "key", "n", "band", "label").distinct().join(families, "rep")
-        full = self.scratch.save(one.join(self._sizes().withColumnRenamed("doc_id", "rep"), ["rep", "key"]))
+        full = self.scratch.save(one.join(self._sizes("sizes").withColumnRenamed("doc_id", "rep"), ["rep", "key"]))
         count = full.groupBy("family", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         dealt = full.join(count, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "_o"), "j": F.greatest("block", "_o")})
