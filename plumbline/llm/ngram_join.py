@@ -318,8 +318,10 @@ class NgramJoin:
 
     def _ordered(self, two: DataFrame) -> DataFrame:
         """Distinct pairs of fitting sizes from structs x and y, the smaller first."""
-        a, b = F.least("x", "y"), F.greatest("x", "y")
-        flat = two.select(a.alias("a"), b.alias("b")).select(F.col("a.rep").alias("ra"), F.col("a.key").alias("ka"), F.col("a.n").alias("na"), F.col("b.rep").alias("rb"), F.col("b.key").alias("kb"), F.col("b.n").alias("nb"))
+        # compared by columns: generated code for least and greatest of structs is long
+        first = (F.col("x.rep") < F.col("y.rep")) | ((F.col("x.rep") == F.col("y.rep")) & (F.col("x.key") < F.col("y.key")))
+        names = list(zip(("rep", "key", "n"), _PAIR[:3], _PAIR[3:], strict=True))
+        flat = two.select(*(F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(a) for c, a, _ in names), *(F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")).alias(b) for c, _, b in names))
         return flat.where(F.least("na", "nb") * self.den >= F.greatest("na", "nb") * self.num).distinct()
 
     def _labelled(self, rows: DataFrame, links: DataFrame) -> DataFrame:
