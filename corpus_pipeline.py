@@ -3,8 +3,8 @@
 run(spark, sf_dir) applies STAGES to the table documents. Every stage but the last returns the columns of
 documents; in each, rows whose doc_id is null go through the same rules as others.
 
-ORACLE_SQL is None: the stages' models, hashes and tokenizer have no SQL. tests/llm/test_pipeline.py holds
-the stages against brute force.
+ORACLE_SQL is None: the stages' models, hashes and tokenizer have no SQL. tests/llm holds their operators
+against brute force; a test of the stages themselves is still to be written.
 """
 
 from __future__ import annotations
