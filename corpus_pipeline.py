@@ -4,7 +4,7 @@ run(spark, sf_dir) applies STAGES to the table documents. Every stage but the la
 documents; in each, rows whose doc_id is null go through the same rules as others.
 
 ORACLE_SQL is None: the stages' models, hashes and tokenizer have no SQL. tests/llm holds their operators
-against brute force; a test of the stages themselves is still to be written.
+against brute force and the stages against planted copies, spans and odd rows.
 """
 
 from __future__ import annotations
