@@ -6,10 +6,14 @@ the share of its characters inside links, its stop-word density, and its place:
 the page's frame (navigation, header, footer, aside, or a class or role that says so) or inside the
 article.
 
-Pass one decides blocks: the frame is boilerplate; link-heavy blocks are; inside an article all others
-are text; without one, long blocks are text if stop words are frequent, boilerplate if links are, and
-short or in-between ones stay open. Pass two gives open blocks the label of their nearest decided
-neighbours: text if both sides are text, or the nearer one is; headings look forward only.
+Pass one decides blocks: the frame is boilerplate, whatever it holds; link-heavy blocks are; long blocks
+are text if stop words are frequent, boilerplate if they are rare, and headings, short and in-between
+ones stay open. An article element decides nothing: it only shifts the limits in favour of its blocks,
+and blocks outside of one go by the same limits as those of a page without any. Where no long block of
+an article holds stop words, its language isn't among the lists', and rare ones leave its blocks open.
+Pass two gives open blocks the label of their nearest decided neighbours: text if both sides are text,
+or the nearer one is; headings look forward first. Inside an article only its own blocks outside the
+frame are neighbours.
 
 Defined cases: null and empty html give an empty text; unclosed and stray tags are tolerated, end tags
 close what they match and an end tag without a match is ignored; undecided blocks without any decided
@@ -52,6 +56,13 @@ LONG = 140
 SHORT = 50
 HIGH_STOPS = 0.30
 LOW_STOPS = 0.15
+# The same inside an article.
+ARTICLE_MAX_LINKS = 0.75
+ARTICLE_LONG = 70
+ARTICLE_HIGH_STOPS = 0.15
+ARTICLE_LOW_STOPS = 0.05
+# In fewer characters a paragraph may lack stop words by chance.
+ARTICLE_BARE = 280
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -62,7 +73,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Block:
     __slots__ = ("pieces", "link", "frame", "article", "heading", "text", "label")
 
-    def __init__(self, frame: bool, article: bool, heading: bool):
+    def __init__(self, frame: bool, article: int, heading: bool):
         self.pieces: list[str] = []
         self.link = 0
         self.frame, self.article, self.heading = frame, article, heading
@@ -87,10 +98,11 @@ def _names(attributes: str) -> tuple[set[str], bool]:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page, in order, empty ones left out."""
     found: list[Block] = []
-    # (name, skips, frame, article, heading, link) of the open elements
-    open_: list[tuple[str, bool, bool, bool, bool, bool]] = []
-    skips = frame = article = heading = link = False
-    now = Block(False, False, False)
+    # (name, skips, frame, article, heading, link) of the open elements; an article is its outermost element's number
+    open_: list[tuple[str, bool, bool, int, bool, bool]] = []
+    skips = frame = heading = link = False
+    article = articles = 0
+    now = Block(False, 0, False)
     at, end = 0, len(page)
 
     def close() -> None:
@@ -124,7 +136,8 @@ def blocks(page: str) -> list[Block]:
                 if open_:
                     _, skips, frame, article, heading, link = open_[-1]
                 else:
-                    skips = frame = article = heading = link = False
+                    skips = frame = heading = link = False
+                    article = 0
             if name in BLOCKS:
                 close()
             continue
@@ -135,7 +148,7 @@ def blocks(page: str) -> list[Block]:
                 now.pieces.append(" " if name == "br" else "")
             continue
         words, hidden = _names(m[3])
-        inside = article or name in ARTICLE or bool(words & ARTICLE_WORDS and not words & FRAME_WORDS)
+        inside = bool(article) or name in ARTICLE or bool(words & ARTICLE_WORDS and not words & FRAME_WORDS)
         closed = m[3].endswith("/") and name in ("svg", "math")
         if name in RAW and not closed:
             # what these hold is not markup
@@ -147,13 +160,16 @@ def blocks(page: str) -> list[Block]:
             if open_:
                 _, skips, frame, article, heading, link = open_[-1]
             else:
-                skips = frame = article = heading = link = False
-            inside = article or name in ARTICLE
+                skips = frame = heading = link = False
+                article = 0
+            inside = bool(article)
         if name == "body" or name == "html":
             words = set()
         skips = skips or hidden or name in SKIPPED
         frame = frame or name in FRAME or bool(words & FRAME_WORDS)
-        article, heading, link = inside, heading or name in HEADINGS, link or name == "a"
+        if inside and not article:
+            article = articles = articles + 1
+        heading, link = heading or name in HEADINGS, link or name == "a"
         if name in BLOCKS:
             close()
         open_.append((name, skips, frame, article, heading, link))
@@ -161,60 +177,68 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def _decide(b: Block, has_article: bool) -> bool | None:
-    """Pass one: True is text, False boilerplate, None open."""
+def _stops(b: Block) -> float:
+    words = _WORD.findall(b.text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def _decide(b: Block, stops: float, known: bool) -> bool | None:
+    """Pass one: True is text, False boilerplate, None open. known: the lists know the language."""
+    if b.article:
+        max_links, long, high, low, bare = ARTICLE_MAX_LINKS, ARTICLE_LONG, ARTICLE_HIGH_STOPS, ARTICLE_LOW_STOPS, ARTICLE_BARE
+    else:
+        max_links, long, high, low, bare = MAX_LINKS, LONG, HIGH_STOPS, LOW_STOPS, LONG
     n = len(b.text)
-    links = b.link / n
-    if b.frame:
-        return False
-    if has_article:
-        if not b.article:
-            return False
-        return None if links > MAX_LINKS else True
-    if links > MAX_LINKS:
+    if b.frame or b.link / n > max_links:
         return False
-    words = _WORD.findall(b.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if b.heading or n < SHORT:
         return None
-    if n >= LONG and stops >= LOW_STOPS or stops >= HIGH_STOPS:
+    if n >= long and stops >= low or stops >= high:
         return True
-    return None if stops >= LOW_STOPS or n < LONG else False
-
-
-def main_text(page: str | None) -> str:
-    """The article's blocks, joined by an empty line."""
-    found = blocks(page or "")
-    has_article = any(b.article and not b.frame for b in found)
-    for b in found:
-        b.label = _decide(b, has_article)
-    decided = [i for i, b in enumerate(found) if b.label is not None]
-    before, after, last = [-1] * len(found), [-1] * len(found), -1
-    for i, b in enumerate(found):
-        before[i] = last
-        last = i if b.label is not None else last
-    last = -1
-    for i in range(len(found) - 1, -1, -1):
-        after[i] = last
-        last = i if found[i].label is not None else last
-    kept = []
-    for i, b in enumerate(found):
-        label = b.label
+    return None if stops >= low or n < bare or not known else False
+
+
+def _neighbours(found: list[Block], own: list[int], labels: list[bool | None]) -> None:
+    """Pass two over the blocks at the places `own`, which are neighbours of each other."""
+    before, after, last = [-1] * len(own), [-1] * len(own), -1
+    for k, i in enumerate(own):
+        before[k] = last
+        last = k if labels[i] is not None else last
+    decided, last = last >= 0, -1
+    for k in range(len(own) - 1, -1, -1):
+        after[k] = last
+        last = k if labels[own[k]] is not None else last
+    for k, i in enumerate(own):
+        label = labels[i]
         if label is None:
-            p, n = before[i], after[i]
+            p, n = before[k], after[k]
             if not decided:
                 label = True
-            elif b.heading and n >= 0:
-                label = found[n].label
+            elif found[i].heading and n >= 0:
+                label = labels[own[n]]
             elif p < 0 or n < 0:
-                label = found[max(p, n)].label
-            elif found[p].label == found[n].label:
-                label = found[p].label
+                label = labels[own[max(p, n)]]
+            elif labels[own[p]] == labels[own[n]]:
+                label = labels[own[p]]
             else:
-                label = found[p if i - p <= n - i else n].label
-        if label:
-            kept.append(b.text)
-    return "\n\n".join(kept)
+                label = labels[own[p if k - p <= n - k else n]]
+        found[i].label = label
+
+
+def main_text(page: str | None) -> str:
+    """The main text's blocks, joined by an empty line."""
+    found = blocks(page or "")
+    stops = [_stops(b) for b in found]
+    known = {b.article for b, s in zip(found, stops, strict=True) if not b.frame and len(b.text) >= ARTICLE_LONG and s >= ARTICLE_LOW_STOPS} | {0}
+    labels = [_decide(b, s, b.article in known) for b, s in zip(found, stops, strict=True)]
+    _neighbours(found, [i for i, b in enumerate(found) if not b.article or b.frame], labels)
+    inside: dict[int, list[int]] = {}
+    for i, b in enumerate(found):
+        if b.article and not b.frame:
+            inside.setdefault(b.article, []).append(i)
+    for own in inside.values():
+        _neighbours(found, own, labels)
+    return "\n\n".join(b.text for b in found if b.label)
 
 
 def _run(b: pa.RecordBatch):

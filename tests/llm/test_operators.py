@@ -141,6 +141,21 @@ def test_html():
     assert html_text.main_text(None) == "" == html_text.main_text("<p")
 
 
+def test_html_article_is_a_feature():
+    text = "This is the text of the page and it has all of the words that are frequent in it. " * 4
+    list_ = "".join(f"<li><a href=/{i}>Label number {i}</a></li>" for i in range(9))
+    # main text outside of the page's one article, a teaser
+    page = f"<div><p>{text}</p><p>{text}</p></div><article><h3><a href=x>Another story that we have for you</a></h3><p><a href=x>Read it</a></p></article>"
+    assert html_text.main_text(page) == f"{text.strip()}\n\n{text.strip()}"
+    # links and long blocks without stop words inside the article, whose classes say nothing
+    bare = "shoes hats coats gloves scarves boots " * 9
+    page = f"<article><p>{text}</p><p>Short one.</p><p>{text}</p><div class=x1><ul>{list_}</ul><p>All prices</p><p>{bare}</p></div></article>"
+    assert html_text.main_text(page) == f"{text.strip()}\n\nShort one.\n\n{text.strip()}"
+    # a language that the lists don't know
+    page = f"<nav><a href=x>Menu</a></nav><article><p>{bare}</p><p>{bare}</p></article>"
+    assert html_text.main_text(page) == f"{bare.strip()}\n\n{bare.strip()}"
+
+
 def test_language_and_toxicity(spark):
     d = spark.createDataFrame([(i, t, lang) for i in range(40) for t, lang in [("the cat and the dog are here", "en"), ("der Hund und die Katze sind da", "de")]], "doc_id long, text string, lang string")
     m = language_id.train(d)
