@@ -2,11 +2,15 @@
 
 1. One scan tokenizes every text and writes the ids (two bytes each where the vocabulary allows).
 2. Document frequencies of all ids over all documents are summed; their number is the vocabulary's.
-3. Every partition of the written ids is worked off in shards of at most SHARD_DOCS documents or
-   SHARD_TOKENS ids. A shard holds a BM25 inverted index of its documents, with the corpus's
+3. Documents are put in the order of their KEYS heaviest BM25 terms, of those terms that at least a
+   quarter of a shard's number of documents have, so that documents about the same lie together
+   whichever files they come from; a term of many documents is split by the next ones. The order's cuts
+   into partitions come from the keys of about SAMPLE documents. One shuffle brings the ids there.
+4. Every partition is worked off in its order, in shards of at most SHARD_DOCS documents or
+   SHARD_TOKENS ids, which are all that a seed sees. A shard holds a BM25 inverted index of its documents, with the corpus's
    frequencies. The first unused document is a seed; its QUERY_TERMS heaviest terms retrieve the unused
    documents that score best, which fill the seed's window one after the other. The last one is cut
-   where the window ends, and what is left of it is the next seed. Nothing is shuffled.
+   where the window ends, and what is left of it is the next seed.
 
 Every window but a shard's last is exactly full. The last is written as sequences whose lengths are the
 powers of two that it adds up to, which need no padding.
@@ -18,7 +22,7 @@ split at, and those in which an added token's string occurs, go through the libr
 
 Defined cases: null and empty texts are the end id alone; documents longer than a sequence are cut into
 consecutive pieces; rows with equal doc_id are packed each for itself; an empty table gives no pieces.
-Reruns over the same files agree.
+Reruns agree, over other files with the same rows too.
 """
 
 from __future__ import annotations
@@ -41,6 +45,10 @@ END = 2
 SHARD_DOCS = 4096
 SHARD_TOKENS = 1 << 24
 QUERY_TERMS = 8
+KEYS = 3
+KEY_BITS = 21
+SHARDS = 4
+SAMPLE = 65_536
 CACHE = 500_000
 K1, B = 1.2, 0.75
 
@@ -168,6 +176,67 @@ def _frequencies(width: int, kind: str):
     return run
 
 
+def _key(d: np.ndarray, idf: np.ndarray, common: np.ndarray, mean: float) -> int:
+    """The heaviest terms of a document, as one number."""
+    term, tf = np.unique(d, return_counts=True)
+    weight = idf[term] * tf / (tf + K1 * (1 - B + B * len(d) / mean))
+    weight[~common[term]] = -1
+    out = 0
+    for _ in range(KEYS):
+        i = int(weight.argmax())
+        out = out << KEY_BITS | (int(term[i]) + 1 if weight[i] > 0 else 0)
+        weight[i] = -1
+    return out
+
+
+def _tie(doc_id: int | None, ids: bytes) -> int:
+    """Puts documents of the same key in order."""
+    return zlib.crc32(b"" if doc_id is None else doc_id.to_bytes(8, "little", signed=True), zlib.crc32(ids))
+
+
+def _sample(kind: str, idf, common, mean: float, share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ties = [_tie(*r) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            at = [i for i, t in enumerate(ties) if (t * 0x9E3779B1 & 0xFFFFFFFF) < share * (1 << 32)]
+            keys = [_key(np.frombuffer(b.column(1)[i].as_py(), kind), idf.value, common.value, mean) for i in at]
+            yield batch(key=pa.array(keys, pa.int64()), tie=pa.array([ties[i] for i in at], pa.int64()))
+
+    return run
+
+
+def _place(keys: np.ndarray, ties: np.ndarray, cut_keys: np.ndarray, cut_ties: np.ndarray) -> np.ndarray:
+    """The number of cuts (in order of key and tie) that lie at or before each key and tie."""
+    lo, hi = np.searchsorted(cut_keys, keys, "left"), np.searchsorted(cut_keys, keys, "right")
+    for i in np.flatnonzero(lo < hi):
+        lo[i] += np.searchsorted(cut_ties[lo[i] : hi[i]], ties[i], "right")
+    return lo
+
+
+def _route(kind: str, idf, common, mean: float, cuts):
+    def run(b: pa.RecordBatch):
+        rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        keys = np.array([_key(np.frombuffer(x, kind), idf.value, common.value, mean) for _, x in rows], np.int64)
+        ties = np.array([_tie(*r) for r in rows], np.int64)
+        yield batch(doc_id=b.column(0), ids=b.column(1), place=pa.array(_place(keys, ties, *cuts.value), pa.int32()), key=pa.array(keys), tie=pa.array(ties))
+
+    return run
+
+
+def routed(ids: DataFrame, kind: str, idf, common, mean: float, total: float, parts: int) -> DataFrame:
+    """ids (doc_id, ids) in so many partitions, documents with the same heavy terms next to each other."""
+    shared = ids.sparkSession.sparkContext.broadcast
+    cuts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if parts > 1:
+        found = ids.mapInArrow(_sample(kind, idf, common, mean, SAMPLE / total), "key long, tie long").groupBy("key", "tie").count().toPandas().sort_values(["key", "tie"])
+        if len(found):
+            upto = found["count"].cumsum().to_numpy()
+            at = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts))
+            cuts = found["key"].to_numpy()[at], found["tie"].to_numpy()[at]
+    placed = map_arrow(ids, _route(kind, idf, common, mean, shared(cuts)), "doc_id long, ids binary, place int, key long, tie long")
+    return placed.repartitionById(parts, F.col("place")).sortWithinPartitions("key", "tie", "doc_id").select("doc_id", "ids")
+
+
 class Shard:
     """Documents with an index of their terms; packs them into windows."""
 
@@ -269,7 +338,7 @@ def _powers(window: list[tuple[int, int, int]], length: int) -> Iterator[list[tu
             yield out
 
 
-def _pack(kind: str, idf, mean: float, length: int):
+def _pack(kind: str, idf, mean: float, length: int, shard_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 36
         held: list[tuple] = []
@@ -294,7 +363,7 @@ def _pack(kind: str, idf, mean: float, length: int):
         for b in batches:
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 d = np.frombuffer(x, kind)
-                if held and (len(held) >= SHARD_DOCS or size + len(d) > SHARD_TOKENS):
+                if held and (len(held) >= shard_docs or size + len(d) > SHARD_TOKENS):
                     yield flush()
                     held, size = [], 0
                 held.append((i, d))
@@ -305,7 +374,7 @@ def _pack(kind: str, idf, mean: float, length: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, scratch: Scratch | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, scratch: Scratch | None = None, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """The pieces of all rows of docs (doc_id, text); tokenizer is the path of a tokenizer file."""
     scratch = scratch or Scratch(docs.sparkSession)
     coder = word_ids(tokenizer)
@@ -316,6 +385,10 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
     known = counts[counts["id"] >= 0]
     df[known["id"].to_numpy()] = known["n"].to_numpy()
     total = float(counts.loc[counts["id"] == -1, "n"].sum())
-    mean = float(counts.loc[counts["id"] == -2, "n"].sum()) / max(total, 1)
-    idf = docs.sparkSession.sparkContext.broadcast(np.log(1 + (total - df + 0.5) / (df + 0.5)))
-    return ids.mapInArrow(_pack(kind, idf, max(mean, 1.0), length), _PIECES)
+    tokens = float(counts.loc[counts["id"] == -2, "n"].sum())
+    mean = max(tokens / max(total, 1), 1.0)
+    shared = docs.sparkSession.sparkContext.broadcast
+    idf = shared(np.log(1 + (total - df + 0.5) / (df + 0.5)))
+    common = shared(df >= max(2, min(shard_docs // 4, total // 16)))
+    parts = max(1, int(-(-total // (SHARDS * shard_docs))), int(-(-tokens // SHARD_TOKENS)))
+    return routed(ids, kind, idf, common, mean, total, parts).mapInArrow(_pack(kind, idf, mean, length, shard_docs), _PIECES)

@@ -122,6 +122,24 @@ def test_tokens_and_packing(spark, docs, rows):
     assert all(n & (n - 1) == 0 and n <= 4096 for n in ends.values())
 
 
+def test_packing_finds_neighbours_in_other_files(spark):
+    rng = np.random.default_rng(3)
+    topics = ["river water boat fish bridge", "engine wheel motor brake tyre", "bread flour oven salt yeast", "piano violin song choir drum", "tooth nurse fever blood pill", "goal player match team score", "judge court law crime prison", "star planet moon orbit comet"]
+    data = [(i, " ".join(rng.choice(topics[i % 8].split(), 30))) for i in range(512)]
+    path = queries.tokenizer("word_bpe_49k.json")
+    packed = []
+    for files, rows in ((1, data), (7, data[::-1])):
+        d = spark.createDataFrame(spark.sparkContext.parallelize(rows, files), "doc_id long, text string")
+        packed.append(sorted(tuple(r) for r in packing.pack(d, path, length=128, shard_docs=32).select("doc_id", "start", "length", "sequence_id", "offset").collect()))
+    # which neighbours a document has doesn't depend on the files
+    assert packed[0] == packed[1] and {r[0] for r in packed[0]} == set(range(512))
+    found = {}
+    for i, _, n, sequence, _ in packed[0]:
+        found.setdefault(sequence, []).append((i % 8, n))
+    full = [w for w in found.values() if sum(n for _, n in w) == 128]
+    assert len(full) > 64 and sum(len({t for t, _ in w}) == 1 for w in full) >= 0.6 * len(full)  # in file order none
+
+
 def test_mixing(spark):
     data = [(i, "w " * (i % 50 + 1), ["b", "a", None][i % 3]) for i in range(600)] + [(600, None, "a"), (601, "", "z")]
     got = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
