@@ -23,6 +23,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language can be found (no letter at all) go."""
     model = language_id.train(docs)
+    if not model.langs:
+        # nothing was learned, so und would say nothing about a text
+        return language_id.with_letters(docs.select(COLUMNS))
     return language_id.identify(docs.select(COLUMNS), model).where(F.col("lang_pred") != language_id.UNKNOWN).select(COLUMNS)
 
 

@@ -152,5 +152,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return taken.mapInArrow(_predictor(shared), f"{schema}, lang_pred string, lang_score double")
 
 
+def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column(b.schema.get_field_index("text")).to_pylist()
+        yield b.filter(pa.array([_WORD.search((t or "").lower()) is not None for t in texts], pa.bool_()))
+
+
+def with_letters(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose text holds a letter."""
+    return docs.mapInArrow(_lettered, docs.schema)
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(n))

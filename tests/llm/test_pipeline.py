@@ -49,6 +49,13 @@ def test_language_stage(spark, docs):
     assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(i) for i, t, _, _ in text_rows() if t and re.search("[a-z]", t))
 
 
+def test_language_stage_without_labels(spark):
+    rows = [(i, t, None, s) for i, t, _, s in text_rows()]
+    out = corpus_pipeline.language(spark, made(spark, rows), "")
+    assert out.columns == corpus_pipeline.COLUMNS
+    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(i) for i, t, _, _ in rows if t and re.search("[a-z]", t))
+
+
 def test_near_duplicate_stage(spark, docs):
     out = corpus_pipeline.near_duplicates(spark, docs, "")
     assert out.columns == corpus_pipeline.COLUMNS
