@@ -62,6 +62,20 @@ def test_near_duplicate_stage(spark, docs):
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "3", "4", "5", "6", "7", "8", "9", "None"]
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    a, b, c = words("a", 120), words("b", 120), words("c", 120)
+    rows = [
+        (1, " ".join(a), "en", "x"),
+        (2, " ".join([*a[:119], "other"]), "en", "x"),  # near copy of 1
+        (2, " ".join(b), "en", "x"),
+        (2, " ".join(c), "en", "z"),
+        (2, " ".join(c), "en", "y"),
+        (3, " ".join([*b[:119], "other"]), "en", "x"),  # near copy of a text of 2
+    ]
+    got = corpus_pipeline.near_duplicates(spark, made(spark, rows), "").collect()
+    assert sorted((r.doc_id, r.text, r.source) for r in got) == sorted((rows[i][0], rows[i][1], rows[i][3]) for i in (0, 2, 4))
+
+
 def test_substring_stage(spark, docs):
     out = corpus_pipeline.repeated_spans(spark, docs, "")
     assert out.columns == corpus_pipeline.COLUMNS
