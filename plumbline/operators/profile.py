@@ -3,8 +3,8 @@
 The wide aggregate has no distinct counts, so it is one partial aggregation and one small shuffle whatever
 the number of columns. Exact distinct counts are one more pass over (column, value) pairs that combine
 before they are shuffled; above the limit of exact counts they are HyperLogLog estimates inside the first
-pass. Exact quantiles keep a count for each value and column, which Spark spills by groups; a column of
-more than QUANTILE_LIMIT distinct values is ranked in a sort instead.
+pass. Exact quantiles keep a count for each distinct value of a column in memory: a column of very
+many distinct values has no bounded path.
 """
 
 from __future__ import annotations
