@@ -14,8 +14,8 @@
 Which pairs are compared depends on the cells, so recall may be below 1 (it is measured in the tests and
 is 1.0 on the given tables); what is linked is exact.
 
-Defined cases: a vector that is null, empty, zero, of another length than most, or has null or non-finite
-components links with nothing and is its own component; equal vec_ids are one vertex; a row with a null
+Defined cases: a vector that is null, empty or zero, or has null or non-finite components links with nothing and is
+its own component; vectors of different lengths never link, those of each length are compared by themselves; equal vec_ids are one vertex; a row with a null
 vec_id gets what an equal vector gets, and counts for nothing; an empty table gives no rows.
 """
 
@@ -124,34 +124,35 @@ def _block(threshold: float):
     return run
 
 
+def _links(classes: DataFrame, m: int, threshold: float, scratch: Scratch) -> DataFrame:
+    """a, b, n, edge of the m classes, whose vectors have one length."""
+    sample = classes.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("unit").toPandas()
+    x = np.frombuffer(b"".join(sample["unit"]), np.float64).reshape(len(sample), -1)
+    k = min(len(x), MAX_CELLS, max(1, -(-m // CELL)))
+    c = classes.sparkSession.sparkContext.broadcast(centres(x, k))
+    placed = scratch.save(map_arrow(classes.select("rep", "size", "unit"), _assigner(c), "rep long, size long, unit binary, cells array<int>"))
+    blocks = placed.select(F.explode("cells").alias("cell")).groupBy("cell").count().select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    own = placed.select("rep", "size", "unit", "cells", F.explode("cells").alias("cell")).join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    pairs = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "_o"), "j": F.greatest("block", "_o")})
+    return scratch.save(pairs.select("cell", "i", "j", "rep", "size", "unit", "cells", "block").groupBy("cell", "i", "j").applyInPandas(_block(threshold), "a long, b long, n long, edge boolean"))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark)
     units = scratch.save(map_arrow(vectors.select("vec_id", "embedding"), _unit, "vec_id long, key string, unit binary"))
     usable = units.where("key is not null and vec_id is not null").withColumn("width", F.length("unit"))
-    common = usable.groupBy("width").count().orderBy(F.desc("count"), "width").first()
-    width = common["width"] if common else 0
-    classes = scratch.save(usable.where(F.col("width") == width).groupBy("key").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("size"), F.first("unit").alias("unit")))
-    m = classes.count()
-    if m:
-        sample = classes.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("unit").toPandas()
-        x = np.frombuffer(b"".join(sample["unit"]), np.float64).reshape(len(sample), -1)
-        k = min(len(x), MAX_CELLS, max(1, -(-m // CELL)))
-        c = spark.sparkContext.broadcast(centres(x, k))
-        placed = scratch.save(map_arrow(classes.select("rep", "size", "unit"), _assigner(c), "rep long, size long, unit binary, cells array<int>"))
-        blocks = placed.select(F.explode("cells").alias("cell")).groupBy("cell").count().select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-        own = placed.select("rep", "size", "unit", "cells", F.explode("cells").alias("cell")).join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        pairs = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "_o"), "j": F.greatest("block", "_o")})
-        found = scratch.save(pairs.select("cell", "i", "j", "rep", "size", "unit", "cells", "block").groupBy("cell", "i", "j").applyInPandas(_block(threshold), "a long, b long, n long, edge boolean"))
-    else:
-        found = spark.createDataFrame([], "a long, b long, n long, edge boolean")
+    classes = scratch.save(usable.groupBy("width", "key").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("size"), F.first("unit").alias("unit")))
+    found = spark.createDataFrame([], "a long, b long, n long, edge boolean, width int")
+    for width, m in sorted(tuple(r) for r in classes.groupBy("width").count().collect()):
+        found = found.unionAll(_links(classes.where(F.col("width") == width), m, threshold, scratch).withColumn("width", F.lit(width)))
     # rows that share a vec_id but not a vector hang together through it
-    ids = usable.select("vec_id", "key").distinct().join(classes.select("key", "rep", "size"), "key")
+    ids = usable.select("vec_id", "key").distinct().join(classes.select("key", "rep"), "key")
     same = ids.where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
     stars = components(found.where("edge").select("a", "b").unionAll(same), scratch)
-    links = found.where("not edge").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    per_key = classes.select("key", "rep", "size").join(links, "rep", "left").select("key", "rep", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    links = found.where("not edge").groupBy("width", F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    per_key = classes.select("width", "key", "rep", "size").join(links, ["width", "rep"], "left").select("key", "rep", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     out = units.join(per_key, "key", "left").join(stars.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

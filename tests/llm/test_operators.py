@@ -101,6 +101,13 @@ def test_embeddings(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903))
 
 
+def test_embeddings_of_two_widths(spark):
+    rng = np.random.default_rng(2)
+    data = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(6, 8)))] + [(10, [1.0, 2.0]), (11, [1.0, 2.0]), (12, [1.0, 2.01]), (13, [-2.0, 1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in (10, 11, 12, 13)] == [(2, 10, True), (2, 10, False), (2, 10, False), (0, 13, True)]
+
+
 def test_tokens_and_packing(spark, docs, rows):
     import sentencepiece
     from tokenizers import Tokenizer
