@@ -25,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import textnum
-from plumbline.llm.common import batch, sampled
+from plumbline.llm.common import Scratch, batch, sampled
 
 SAMPLE_ROWS = 6_000
 WORDS = 60_000
@@ -70,15 +70,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Log frequencies: tables[0] of words, tables[k] of k-grams; rows are places in `values`."""
 
-    def __init__(self, langs: list[str], counts: list[tuple[int, str, dict[str, int]]], totals: dict[int, dict[str, int]]):
-        self.langs = langs
-        self.tables: list[dict[str, int]] = [{} for _ in range(MAX_GRAM + 1)]
-        rows = []
-        for kind, key, by in counts:
-            self.tables[kind][key] = len(rows)
-            total = totals[kind]
-            rows.append([np.log((by.get(x, 0) + 0.1) / (total.get(x, 0) + 0.1 * (len(counts) + 1))) for x in langs])
-        self.values = np.array(rows, np.float64).reshape(len(rows), len(langs))
+    def __init__(self, langs: list[str], tables: list[dict[str, int]], counts: np.ndarray, totals: np.ndarray):
+        """counts: a row for each place and a column for each language; totals: the same for each table."""
+        self.langs, self.tables = langs, tables
+        self.values = np.empty(counts.shape, np.float64)
+        for table, total in zip(tables, totals, strict=True):
+            at = np.fromiter(table.values(), np.int64, len(table))
+            self.values[at] = np.log((counts[at] + 0.1) / (total + 0.1 * (len(counts) + 1)))
         self.cache: dict[str, np.ndarray] = {}
 
     def word(self, w: str) -> np.ndarray:
@@ -118,19 +116,31 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     known = labelled.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
     sample = sampled(known, known.select("doc_id").distinct(), rows)
     counts = sample.select("text", "lang").repartition(sample.sparkSession.sparkContext.defaultParallelism).mapInArrow(_count, "lang string, kind int, key string, n long")
-    each = counts.groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
-    totals: dict[int, dict[str, int]] = {}
-    kept = []
-    each = each.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by")).persist()
-    try:
-        for r in each.select("kind", F.explode("by").alias("b")).groupBy("kind", "b.lang").agg(F.sum("b.n").alias("n")).collect():
-            totals.setdefault(r.kind, {})[r.lang] = r.n
-        for kind in range(MAX_GRAM + 1):
-            top = each.where(F.col("kind") == kind).orderBy(F.desc("n"), "key").limit(WORDS if kind == 0 else GRAMS)
-            kept += [(kind, r.key, {b.lang: b.n for b in r.by}) for r in top.collect()]
-    finally:
-        each.unpersist()
-    return Model(sorted({x for by in totals.values() for x in by}), kept, totals)
+    scratch = Scratch(sample.sparkSession)
+    each = scratch.save(counts.groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")))
+    known = each.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()
+    langs = sorted({r.lang for r in known})
+    column = {lang: i for i, lang in enumerate(langs)}
+    totals = np.zeros((MAX_GRAM + 1, len(langs)))
+    for r in known:
+        totals[r.kind, column[r.lang]] = r.n
+    # flat rows in Arrow batches: the driver holds no object for a row
+    ranked = each.groupBy("kind", "key").agg(F.sum("n").alias("m"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("m"), "key")))
+    kept = ranked.where(F.col("r") <= F.when(F.col("kind") == 0, WORDS).otherwise(GRAMS)).select("kind", "key", F.explode("by").alias("b"))
+    tables: list[dict[str, int]] = [{} for _ in range(MAX_GRAM + 1)]
+    place, lang, n, met = [], [], [], 0
+    for b in kept.select("kind", "key", "b.lang", "b.n").toArrow().to_batches(max_chunksize=8192):
+        for kind, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            at = tables[kind].setdefault(key, met)
+            met += at == met
+            place.append(at)
+        lang += [column[x] for x in b.column(2).to_pylist()]
+        n += b.column(3).to_pylist()
+    scratch.drop(each)
+    filled = np.zeros((met, len(langs)))
+    filled[place, lang] = n
+    return Model(langs, tables, filled, totals)
 
 
 def _predictor(model):
