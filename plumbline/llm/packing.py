@@ -28,6 +28,7 @@ Reruns agree, over other files with the same rows too.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -55,7 +56,7 @@ K1, B = 1.2, 0.75
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Control characters at which str.split() cuts and the tokenizer doesn't.
 _ODD = "\x1c\x1d\x1e\x1f"
-#: A word of Latin letters that no normalisation but lower case changes, and signs after it.
+#: A word of Latin letters and signs after it; in composed form only lower case changes it.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\\w\\s']*)")
 _workers: dict[str, WordIds] = {}
 
@@ -111,7 +112,8 @@ class WordIds:
         return out
 
     def _word(self, word: str) -> bytes:
-        m = _PLAIN.fullmatch(word) if self.direct else None
+        # a combining mark among the signs may belong to the last letter
+        m = _PLAIN.fullmatch(word) if self.direct and (word.isascii() or unicodedata.is_normalized("NFC", word)) else None
         if m is None:
             return self._whole(word)
         out, signs = self._base(m[1].lower()), m[2]
