@@ -31,9 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one is made only where none is set, as in local tests."""
+    """The folder that the cluster shares; one is made only where none is set and all runs in one process."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -109,6 +111,26 @@ def only_likely(df: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
     return df.withColumn("_bucket", bucket()).join(F.broadcast(numbers), "_bucket", "left_semi").drop("_bucket")
 
 
+#: Keys that hold more than one of so many parts of all rows are hot; there are fewer of them.
+HOT_PARTS = 4096
+
+
+def hot_limit(counts: DataFrame) -> int:
+    """From counts (.., rows) of keys: a key with more rows than this is hot."""
+    return (counts.agg(F.sum("rows")).first()[0] or 0) // HOT_PARTS
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """big joined with small, which has one row for a key; rows of hot keys stay where they are.
+
+    hot holds the hot keys, fewer than HOT_PARTS. They and their rows of small are broadcast, so no task gets
+    all rows of a hot key; the others are joined by a shuffle.
+    """
+    few = hot.select(key)
+    stay = big.join(F.broadcast(small.join(F.broadcast(few), key, "left_semi")), key)
+    return stay.unionByName(big.join(F.broadcast(few), key, "left_anti").join(small, key))
+
+
 def components(edges: DataFrame, scratch: Scratch, limit: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable from each id that has an edge.
 

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from plumbline.llm import embedding_dedup, fingerprints, html_text, language_id, mixing, ngram_join, packing, queries, substring_dedup, token_counts, toxicity
+from plumbline.llm import common, embedding_dedup, fingerprints, html_text, language_id, mixing, ngram_join, packing, queries, substring_dedup, token_counts, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -29,8 +29,8 @@ def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string, source string, lang string")
 
 
-def test_substring(spark, docs, rows):
-    got = sorted((tuple(r) for r in substring_dedup.substring_dedup(docs).collect()), key=repr)
+def substrings(rows):
+    """(doc_id, n_words, n_removed, kept_sha256) by brute force."""
     own = {}
     for i, t in rows:
         w = WORD.findall(t or "")
@@ -46,10 +46,49 @@ def test_substring(spark, docs, rows):
             if i is not None and own[tuple(w[j : j + 50])] < i:
                 gone[j : j + 50] = True
         want.append((i, len(w), int(gone.sum()), hashlib.sha256(" ".join(a for a, g in zip(w, gone) if not g).encode()).hexdigest()))
-    assert got == sorted(want, key=repr)
+    return sorted(want, key=repr)
+
+
+def test_substring(spark, docs, rows):
+    got = sorted((tuple(r) for r in substring_dedup.substring_dedup(docs).collect()), key=repr)
+    assert got == substrings(rows)
     assert substring_dedup.substring_dedup(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [4096, 8])
+def test_substring_hot_passages(spark, monkeypatch, parts):
+    """Passages in a third of all documents and in few, alone and cut, between other words and each other."""
+    monkeypatch.setattr(common, "HOT_PARTS", parts)
+    rng = np.random.default_rng(5)
+    passages = [[f"p{k}_{i}" for i in range(n)] for k, n in enumerate((50, 55, 120, 400, 49))]
+    data = []
+    for i in range(240):
+        w = [f"d{i}_{j}" for j in range(int(rng.integers(0, 60)))]
+        for k in rng.choice(5, int(rng.integers(0, 4))):
+            p = passages[k]
+            a = int(rng.integers(0, 3)) * 20 if len(p) > 100 and i % 2 else 0
+            w += p[a:] + [f"e{i}_{j}" for j in range(int(rng.integers(0, 3)) * 10)]
+        data.append((int(i // 1.05), " ".join(w)))
+    data += [(500 + i, " ".join(passages[3])) for i in range(120)] + [(None, " ".join(passages[2]))] * 3
+    got = sorted((tuple(r) for r in substring_dedup.substring_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()), key=repr)
+    assert got == substrings(data)
+
+
+def test_substring_checks_words():
+    """A span whose check isn't that of the words there stays."""
+    real = substring_dedup.textnum.Words
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "ab"]
+    a, b = (real([t]).runs(50) for t in texts)
+    assert not set(a.tolist()) & set(b.tolist())
+    second = [real([t], check=True).runs(50) for t in texts]
+    spans = [{"b": 0, "e": 11, "v": int(substring_dedup._checks(second[0], np.array([0]), np.array([11])).view(np.int64)[0])}]
+    import pyarrow as pa
+
+    one = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t, "text_key": 0, "spans": spans} for i, t in enumerate(texts)])
+    got = next(substring_dedup._cut(50)(one))
+    assert got.column("n_removed").to_pylist() == [60, 0]
+
+
 @pytest.mark.parametrize("small", [64, 1])
 def test_ngram_join(spark, docs, rows, monkeypatch, small):
     monkeypatch.setattr(ngram_join, "SMALL", small)
