@@ -1,30 +1,33 @@
 """Mixing sources to target weights by weighted fair queueing (operator 6), in DataFrame functions only.
 
-Every source is a queue of its documents in a hashed (shuffled) order, repeated up to `epochs` times.
-A document's virtual finish time is the number of its source's words up to and with it, divided by the
-source's target; all queues are merged in order of finish time and the merged queue is cut at the total
-budget. As targets sum to the budget, the cut falls where virtual time is 1.
-
-* Targets: water filling. A source's target is min(cap, level * weight), where cap is `epochs` times its
-  size, and the level makes all targets sum to the total; a window over the sources (one row each, sums
-  of all documents) finds it in closed form.
-* Running sums within a source: its documents are dealt into BUCKETS ranges of their hash; sums of
-  buckets give each bucket's start, and windows run inside buckets only, so a source that holds a third
-  of all rows is BUCKETS tasks, not one.
-* The global order: finish times up to 1 are cut into RANGES equal ranges, which hold equal numbers of
-  words since every source serves its target at an even rate. Sums of the ranges give the running total
-  at each range's start; only the range in which the budget runs out is put in order row by row.
-* Documents before the cut are taken whole. The document at the head of each queue, which begins before
-  virtual time 1 and ends after it, is cut to what its source still lacks, in words.
+Every source is a queue of its documents in a hashed (shuffled) order, repeated up to `epochs` times, and
+serves word by word. The virtual finish time of a word is its place in its source's queue divided by the
+source's weight. All queues are merged in order of finish time and the merged queue is cut where it holds
+`budget` words, the number of words of all documents. A source that runs out leaves its share to the
+others. In whole numbers throughout: times are multiples of 1 / lcm(weights), so every run agrees.
+
+* Running sums within a source: documents are dealt into ranges of their hash, about RANGE_ROWS rows in
+  each; sums of ranges give each range's start, and windows run inside ranges only, so a source that holds
+  a third of all rows is as many tasks as its size asks for.
+* The global order: the time axis is cut into RANGES ranges. A document's words lie in a row on it, so each
+  range gets a number of words from each document that crosses it; running sums over the ranges tell the
+  one in which the budget runs out. That one is cut into RANGES ranges again, until one holds at most LAST
+  words, which are put in order one by one. The last word that fits is the cut: documents before it are
+  taken whole, those after it not at all, and the one that each queue is at is cut at its word.
+* Targets, for the report: a source's target is min(cap, level * weight), where cap is `epochs` times its
+  size, and the level makes all targets sum to the budget. Fair queueing comes within a word of them.
 
 Defined cases: null and empty texts have size 0 and take 0; a null source is a source of its own, last
-in order; no documents or no words: targets 0; equal rows are told apart only by their place in a tie,
-which doesn't change the result as a set; reruns and other partitionings agree, since nothing depends on
-where a row lies. A null doc_id is hashed like any other value.
+in order; no documents or no words: targets and takes 0; a null doc_id is a value like any other; rows with
+equal doc_id are told apart by their texts, equal rows by their number `tie` (of `ties`), they are counted
+before they are queued; other columns don't matter; reruns and other partitionings agree, since nothing
+depends on where a row lies.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +35,9 @@ from plumbline.llm.common import Scratch
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
-BUCKETS = 256
-RANGES = 4096
-SEED = 7
+RANGE_ROWS = 1 << 14
+RANGES = 256
+LAST = 1 << 16
 
 _EDGE = r"[^\x20\x09-\x0D]+"
 
@@ -43,8 +46,13 @@ def words(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_EDGE)), F.lit(0)).cast("long")
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The place of a document in its queue, from its id and text; equal only for equal ones."""
+    return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(" "), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """(source, source_size, weight, target) from (source, source_size)."""
+    """(source, source_size, weight, _i, target) from (source, source_size); _i numbers the sources in order."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     known = sizes.withColumn("_i", F.row_number().over(by_name)).withColumn("weight", F.element_at(cycle, F.pmod(F.col("_i") - 1, F.lit(len(weights))) + 1))
@@ -56,38 +64,70 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     # the level counts from the first source on whose cap isn't below its share
     known = known.withColumn("_cap", cap).withColumn("_total", F.sum("source_size").over(everything).cast("double")).withColumn("_level", level)
     known = known.withColumn("_level", F.min(F.when(F.col("_cap") >= F.col("_level") * F.col("weight"), F.struct(F.col("_cap") / F.col("weight"), "_i", "_level"))).over(everything)["_level"])
-    return known.select("source", "source_size", "weight", F.least("_cap", F.coalesce(F.col("_level") * F.col("weight"), "_cap")).alias("target"))
+    return known.select("source", "source_size", "weight", "_i", F.least("_cap", F.coalesce(F.col("_level") * F.col("weight"), "_cap")).alias("target"))
+
+
+def _upto(time: Column | int) -> Column:
+    """How many of a document's words, over all its passes (array _begins), finish at this time or before."""
+    served = F.floor((time if isinstance(time, Column) else F.lit(time)) / F.col("_step"))
+    one = lambda begin: F.greatest(F.lit(0), F.least(F.col("size"), served - begin))
+    return F.aggregate(F.transform("_begins", one), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+
+
+def _cut(items: DataFrame, budget: int, end: int) -> tuple[int, int]:
+    """(time, place of the source) of the last word that fits, from items (_begin, size, _step, _i), one for each pass."""
+    low, before = 0, 0  # words finishing at `low` or before it are counted in `before`
+    first, last = F.col("_begin") + 1, F.col("_begin") + F.col("size")
+    while True:
+        width = -(-(end - low) // RANGES)
+        place = lambda c: F.floor((c * F.col("_step") - low - 1) / width)  # noqa: E731, B023
+        crossing = items.where((last * F.col("_step") > low) & (first * F.col("_step") <= end))
+        spread = crossing.withColumn("r", F.explode(F.sequence(F.greatest(F.lit(0), place(first)), F.least(F.lit(RANGES - 1), place(last)))))
+        edge = lambda r: F.greatest(F.col("_begin"), F.least(last, F.floor((r * width + low) / F.col("_step"))))  # noqa: E731, B023
+        counts = spread.groupBy("r").agg(F.sum(edge(F.col("r") + 1) - edge(F.col("r"))).alias("n"))
+        upto = before + F.sum("n").over(Window.orderBy("r"))
+        r = counts.withColumn("upto", upto).where(F.col("upto") >= budget).orderBy("r").first()
+        low, end, before = low + r.r * width, min(end, low + (r.r + 1) * width), r.upto - r.n
+        if r.n <= LAST or end - low <= 1:
+            break
+    # one by one in the range that is left; words of one time go by the order of sources
+    inside = items.where((last * F.col("_step") > low) & (first * F.col("_step") <= end))
+    inside = inside.withColumns({"a": F.greatest(first, F.floor(F.lit(low) / F.col("_step")) + 1), "b": F.least(last, F.floor(F.lit(end) / F.col("_step")))}).where("a <= b")
+    one = inside.select("_i", "_step", F.explode(F.sequence("a", "b")).alias("c")).select("_i", (F.col("c") * F.col("_step")).alias("t"))
+    cut = one.orderBy("t", "_i").limit(budget - before).agg(F.max(F.struct("t", "_i")).alias("x")).first().x
+    return cut.t, cut._i
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken for every row of docs (doc_id, text, source)."""
+    """doc_id, size, source, source_size, target, taken, row_key, tie, ties for every row of docs (doc_id, text, source)."""
+    if not weights or any(not isinstance(w, int) or w < 1 for w in weights):
+        raise ValueError("weights are positive whole numbers")
     scratch = scratch or Scratch(docs.sparkSession)
-    h = F.xxhash64(F.lit(SEED), F.col("doc_id"))
-    slim = docs.select("doc_id", "source", words("text").alias("size")).withColumn("_h", h).withColumn("_bucket", F.shiftrightunsigned("_h", 64 - (BUCKETS - 1).bit_length()).cast("int"))
-    slim = scratch.save(slim)
-    sums = slim.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
+    scale = math.lcm(*weights)
+    slim = docs.select("doc_id", "source", words("text").alias("size"), row_key().alias("row_key"))
+    # equal rows are one row with their number
+    slim = scratch.save(slim.groupBy("doc_id", "source", "size", "row_key").agg(F.count("*").alias("ties")))
+    rows = slim.count()
+    shift = 32 - min(32, (rows // RANGE_ROWS).bit_length())
+    slim = slim.withColumn("_range", F.shiftright(F.conv(F.substring("row_key", 1, 8), 16, 10).cast("long"), shift))
+    sums = slim.groupBy("source", "_range").agg(F.sum(F.col("size") * F.col("ties")).alias("_sum"))
     sources = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, epochs)
-    starts = sums.withColumn("_start", F.sum("_sum").over(Window.partitionBy("source").orderBy("_bucket")) - F.col("_sum"))
-    starts = scratch.save(starts.withColumnsRenamed({"source": "_s", "_bucket": "_b"}).join(sources, F.col("_s").eqNullSafe(F.col("source"))).select("_s", "_b", "_start", "source_size", "target"))
-    inside = Window.partitionBy("source", "_bucket").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queue = slim.withColumn("_in", F.sum("size").over(inside)).join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).drop("_s", "_b")
-    # copy e of a document ends after e - 1 whole passes of its source
-    last = F.col("_start") + F.col("_in")
-    goal = F.floor(F.col("target"))
-    finish = F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: (e * F.col("source_size") + last).cast("double") / F.col("target"))
-    queue = scratch.save(queue.select("doc_id", "source", "size", "source_size", "target", "_h", last.alias("_last"), goal.alias("_goal"), F.when(F.col("target") > 0, finish).alias("_finish")))
-    items = queue.where("size > 0").select("size", "_h", "doc_id", F.explode("_finish").alias("f")).where("f <= 1")
-    ranges = items.groupBy(F.floor(F.col("f") * RANGES).alias("r")).agg(F.sum("size").alias("w"))
-    budget = queue.select("source", "source_size").distinct().agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("budget"))
-    running = ranges.withColumn("before", F.sum("w").over(Window.orderBy("r")) - F.col("w"))
-    # the range in which the budget runs out, if it does, and the last item in it that still fits
-    cut = running.crossJoin(F.broadcast(budget)).where("before + w > budget").orderBy("r").limit(1)
-    edge = items.withColumn("r", F.floor(F.col("f") * RANGES)).join(F.broadcast(cut), "r")
-    edge = edge.withColumn("_upto", F.sum("size").over(Window.orderBy("f", "_h", "doc_id")) + F.col("before")).where("_upto > budget")
-    limit = F.broadcast(edge.agg(F.min(F.struct("f", "_h", "doc_id")).alias("stop")))
-    # whole copies before the cut, then the head of the queue up to its source's target
-    fits = F.filter(F.coalesce("_finish", F.array().cast("array<double>")), lambda f: (f <= 1) & (F.col("stop").isNull() | (F.struct(f.alias("f"), F.col("_h"), F.col("doc_id")) < F.col("stop"))))
-    heads = F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: F.greatest(F.lit(0), F.least(F.col("size"), F.col("_goal") - e * F.col("source_size") - (F.col("_last") - F.col("size")))))
-    part = F.aggregate(F.zip_with(heads, F.coalesce("_finish", F.array().cast("array<double>")), lambda have, f: F.when(f > 1, have).otherwise(0)), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)).cast("long"))
-    out = queue.crossJoin(limit).withColumn("taken", F.size(fits).cast("long") * F.col("size") + F.when(F.col("target") > 0, part).otherwise(0))
-    return out.select("doc_id", "size", "source", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    starts = sums.withColumn("_start", F.sum("_sum").over(Window.partitionBy("source").orderBy("_range")) - F.col("_sum"))
+    sources = scratch.save(sources.withColumn("_step", (scale / F.col("weight")).cast("long")))
+    starts = scratch.save(starts.withColumnsRenamed({"source": "_s", "_range": "_r"}).join(sources, F.col("_s").eqNullSafe(F.col("source"))).drop("source", "weight"))
+    inside = Window.partitionBy("source", "_range").orderBy("row_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    queue = slim.withColumn("_in", F.sum(F.col("size") * F.col("ties")).over(inside)).join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
+    queue = queue.withColumn("tie", F.explode(F.sequence(F.lit(1).cast("long"), "ties")))
+    # pass e of a document begins after e whole passes of its source
+    begin = F.col("_start") + F.col("_in") - F.col("size") * (F.col("ties") - F.col("tie") + 1)
+    begins = F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: e * F.col("source_size") + begin)
+    queue = scratch.save(queue.select("doc_id", "source", "size", "source_size", "target", "row_key", "tie", "ties", "_i", "_step", begins.alias("_begins")))
+    total = sources.agg(F.sum("source_size").alias("budget"), F.max(F.col("source_size") * epochs * F.col("_step")).alias("end")).first()
+    if not total.budget:
+        taken = F.lit(0).cast("long")
+    else:
+        items = queue.where("size > 0").select("size", "_step", "_i", F.explode("_begins").alias("_begin"))
+        time, place = _cut(items, total.budget, total.end)
+        # of the words that finish at the very time of the cut those of later sources don't fit
+        taken = _upto(F.when(F.col("_i") <= place, time).otherwise(time - 1))
+    return queue.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), "row_key", "tie", "ties")
