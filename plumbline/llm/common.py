@@ -44,8 +44,11 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder in place of long lineages; they survive lost executors."""
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        Scratch.made.append(self)
         bounded_batches(spark)
         self.root = f"{shared_dir(spark)}/plumbline-{uuid.uuid4().hex}"
         self.count = 0
@@ -60,10 +63,20 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that nothing will read again."""
+        self._delete(df._scratch_path)
+
+    def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        path = jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    @classmethod
+    def release(cls, since: int) -> None:
+        """Deletes all tables of those made since there were so many of them; nothing may read them again."""
+        for scratch in cls.made[since:]:
+            scratch._delete(scratch.root)
+        del cls.made[since:]
+
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
@@ -131,27 +144,37 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame) -> D
     return stay.unionByName(big.join(F.broadcast(few), key, "left_anti").join(small, key))
 
 
+def _edge_sum(edges: DataFrame) -> tuple:
+    """The number of edges and a sum that tells sets of them apart."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, scratch: Scratch, limit: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable from each id that has an edge.
 
     edges has the long columns a and b. Alternates large-star and small-star rounds, each of which links
     every vertex to a smaller one, until the edges form stars around the smallest ids. A round is two
-    shuffles of the edges and its result is written to the shared folder.
+    shuffles of the edges and its result is written to the shared folder; the edges of a hot vertex stay
+    where they are.
     """
     both = edges.select("a", "b").where("a <> b")
     now = scratch.save(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    rows = _edge_sum(now)
     for _ in range(limit):
+        # a vertex with more edges than this is hot; there are fewer than HOT_PARTS of them
+        most = 2 * rows[0] // HOT_PARTS
         # large star: every larger neighbour of a vertex is linked to its smallest neighbour
         ways = now.select(F.col("a").alias("v"), F.col("b").alias("u")).unionAll(now.select(F.col("b").alias("v"), F.col("a").alias("u")))
-        least = ways.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("m", "v").alias("m"))
-        large = ways.join(least, "v").where("u > v").select(F.col("u").alias("a"), F.col("m").alias("b")).distinct()
+        least = ways.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("rows")).select("v", F.least("m", "v").alias("m"), "rows")
+        large = spread_join(ways, least.drop("rows"), "v", least.where(F.col("rows") > most)).where("u > v").select(F.col("u").alias("a"), F.col("m").alias("b")).distinct()
         # small star: every smaller neighbour, and the vertex, is linked to the smallest
-        small_min = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_min, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rows"))
+        small = spread_join(large, least.drop("rows"), "a", least.where(F.col("rows") > most)).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         new = scratch.save(small)
-        same = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        after = _edge_sum(new)
         scratch.drop(now)
-        now = new
+        now, same = new, after == rows
+        rows = after
         if same:
             break
     else:
