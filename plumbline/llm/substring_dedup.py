@@ -33,7 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import textnum
@@ -45,9 +45,13 @@ KMER = 16
 _SCAN = "doc_id long, text_key long, n_words long, sha string, anchor array<long>, sig array<long>, at array<int>, n array<int>"
 
 
-def text_key(text: str | None) -> int:
+def text_key(text: str = "text") -> Column:
     """Tells apart rows that share a doc_id."""
-    return int.from_bytes(hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", text_key().alias("text_key"))
 
 
 def _leftmost_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -86,16 +90,15 @@ def _scan(window: int, k: int):
         ids, texts = b.column(0), b.column(1).to_pylist()
         for lo, hi in textnum.chunks(texts):
             words = textnum.Words(texts[lo:hi])
-            found, ends, keys, shas = [], [0], [], []
+            found, ends, shas = [], [0], []
             for i, t in enumerate(texts[lo:hi]):
                 s, e = words.bounds(i)
                 p = paths(words.hashes[s:e], window, k)
                 found.append(p)
                 ends.append(ends[-1] + len(p[0]))
-                keys.append(text_key(t))
                 shas.append(hashlib.sha256(b" ".join((t or "").encode("utf-8", "surrogatepass").split())).hexdigest())
             cat = [np.concatenate([f[j] for f in found]) for j in range(4)]
-            yield batch(doc_id=ids[lo:hi], text_key=pa.array(keys, pa.int64()), n_words=pa.array(words.counts()), sha=shas, anchor=lists(cat[0].view(np.int64), ends, pa.int64()), sig=lists(cat[1].view(np.int64), ends, pa.int64()), at=lists(cat[2].astype(np.int32), ends, pa.int32()), n=lists(cat[3].astype(np.int32), ends, pa.int32()))
+            yield batch(doc_id=ids[lo:hi], text_key=b.column(2)[lo:hi], n_words=pa.array(words.counts()), sha=shas, anchor=lists(cat[0].view(np.int64), ends, pa.int64()), sig=lists(cat[1].view(np.int64), ends, pa.int64()), at=lists(cat[2].astype(np.int32), ends, pa.int32()), n=lists(cat[3].astype(np.int32), ends, pa.int32()))
 
     return run
 
@@ -165,15 +168,11 @@ def _cut(window: int):
     return run
 
 
-def _keyed(b: pa.RecordBatch) -> pa.RecordBatch:
-    return batch(doc_id=b.column(0), text=b.column(1), text_key=pa.array([text_key(t) for t in b.column(1).to_pylist()], pa.int64()))
-
-
 def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, k: int = KMER) -> tuple[DataFrame, DataFrame]:
     """The scan of all documents, and (doc_id, text_key, spans): b <= start of a removed window < e, check v."""
     if not 0 < k < window:
         raise ValueError("k must be positive and below window")
-    slim = docs.select("doc_id", "text")
+    slim = _keyed(docs)
     scan = scratch.save(map_arrow(slim, _scan(window, k), _SCAN))
     some = F.size("sig") - 1
     before = F.concat(F.array(F.lit(0).cast("long")), F.slice("sig", 1, some))
@@ -190,7 +189,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, k: i
     edges = scratch.save(edges.select("sig", "plain", "own.*", "rows", *[f"{c}_{n}" for c in ("before", "after") for n in ("lo", "hi")]))
     paths_ = scratch.save(_compacted(edges.where("plain")).unionByName(edges.where("not plain").select("sig", "plain", "doc_id", "text_key", "at", "n", "rows")))
     spots = scratch.save(paths_.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("sig", "at", "n", "plain")).alias("spots")))
-    sources = map_arrow(only_likely(slim, ["doc_id"], spots.select("doc_id")), _keyed, "doc_id long, text string, text_key long")
+    sources = only_likely(slim, ["doc_id"], spots.select("doc_id"))
     read = scratch.save(map_arrow(sources.join(spots, ["doc_id", "text_key"]).select("doc_id", "text", "spots"), _sources(window), "sig long, j int, w long, v long, doc_id long"))
     checks = read.where("j < 0").groupBy("sig").agg(F.min("v").alias("v"))
     found = scratch.save(paths_.select("sig", "plain", F.col("doc_id").alias("own"), F.col("n").alias("length"), "rows").join(checks, "sig"))
@@ -228,7 +227,7 @@ def _compacted(edges: DataFrame) -> DataFrame:
 
 def removed_text(docs: DataFrame, spans: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_key, n_removed, kept_text, cut_text) of the documents that lose words."""
-    likely = map_arrow(only_likely(docs.select("doc_id", "text"), ["doc_id"], spans.select("doc_id")), _keyed, "doc_id long, text string, text_key long")
+    likely = only_likely(_keyed(docs), ["doc_id"], spans.select("doc_id"))
     return map_arrow(likely.join(spans, ["doc_id", "text_key"]), _cut(window), "doc_id long, text_key long, n_removed long, kept_text string, cut_text string")
 
 

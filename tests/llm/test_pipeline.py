@@ -96,10 +96,32 @@ def test_mixing_stage(spark, docs):
     for r in rows:
         w = WORD.findall(r.text)
         assert w and w == whole[r.doc_id][: len(w)] and r.n_chars == len(r.text)
-    taken = {(r.doc_id, r.taken) for r in mixing.mix(docs).where("taken > 0").collect()}
-    for i, n in taken:
-        copies = 2 if i == 8 else 1
-        assert sum(len(WORD.findall(r.text)) for r in rows if r.doc_id == i) in {n * c for c in range(1, copies + 1)}
+    taken = {}
+    for r in mixing.mix(docs).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    for i, n in taken.items():
+        assert sum(len(WORD.findall(r.text)) for r in rows if r.doc_id == i) == n
+
+
+def test_mixing_stage_with_ties(spark):
+    """Each row gets its own take, whatever ids and sizes rows share."""
+    rows = [(None, f"a{i % 3} b c d e", "en", "x") for i in range(9)] + [(7, t, "en", s) for t in ("k l m", "k l m", "n o p") for s in ("x", "y", None)] + [(1, "z " * 40, "en", "y")]
+    d = made(spark, rows)
+    mixed = mixing.mix(d).collect()
+    out = corpus_pipeline.mixture(spark, d, "").collect()
+    assert sum(len(WORD.findall(r.text)) for r in out) == sum(r.taken for r in mixed) == sum(r.size for r in mixed)
+    for s in ("x", "y", None):
+        assert sum(len(WORD.findall(r.text)) for r in out if r.source == s) == sum(r.taken for r in mixed if r.source == s)
+        cut = [r for r in out if r.source == s and len(WORD.findall(r.text)) not in (3, 5, 40)]
+        assert len(cut) <= 1  # only the document that the queue is at
+    assert sorted(map(tuple, out), key=repr) == sorted(map(tuple, corpus_pipeline.mixture(spark, d.repartition(5), "").collect()), key=repr)
+
+
+def test_substring_stage_with_repeated_ids(spark):
+    shared = words("s", 60)
+    rows = [(1, " ".join(shared), "en", "a"), (2, " ".join([*words("g", 30), *shared]), "en", "b"), (2, " ".join(words("h", 70)), "en", "c"), (2, None, "en", "d")]
+    got = {r.source: r.text for r in corpus_pipeline.repeated_spans(spark, made(spark, rows), "").collect()}
+    assert got == {"a": rows[0][1], "b": " ".join(words("g", 30)), "c": rows[2][1], "d": None}
 
 
 def test_packing_stage_and_empty_tables(spark, docs):
