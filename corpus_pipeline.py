@@ -1,7 +1,8 @@
 """A training corpus from raw documents: each stage works on what its predecessor kept.
 
 run(spark, sf_dir) applies STAGES to the table documents. Every stage but the last returns the columns of
-documents; in each, rows whose doc_id is null go through the same rules as others.
+documents. In each, rows whose doc_id is null go through the same rules as others, null and empty texts pass or
+go as the stage's docstring says, further columns are left out, and an empty table gives an empty one.
 
 ORACLE_SQL is None: the stages' models, hashes and tokenizer have no SQL. tests/llm holds their operators
 against brute force and the stages against planted copies, spans and odd rows.
@@ -9,7 +10,7 @@ against brute force and the stages against planted copies, spans and odd rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import language_id, mixing, ngram_join, packing, substring_dedup
@@ -58,19 +59,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of 50 and more words that an earlier document has are cut out of the text."""
-    scratch = Scratch(spark)
-    _, spans = substring_dedup.repeated_spans(docs, scratch)
-    cut = substring_dedup.removed_text(docs, spans).groupBy("doc_id").agg(F.first("cut_text").alias("_cut"))
-    out = docs.select(COLUMNS).join(cut, "doc_id", "left").withColumn("text", F.coalesce("_cut", "text"))
+    """Spans of 50 and more words that an earlier document has are cut out of the text.
+
+    Spans belong to a doc_id and text, so rows that share a doc_id keep their own texts.
+    """
+    _, spans = substring_dedup.repeated_spans(docs, Scratch(spark))
+    cut = substring_dedup.removed_text(docs, spans).groupBy("doc_id", "text_key").agg(F.first("cut_text").alias("_cut"))
+    cut = cut.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    keyed = docs.select(*COLUMNS, substring_dedup.text_key().alias("_text_key"))
+    out = keyed.join(cut, (F.col("doc_id") == F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left").withColumn("text", F.coalesce("_cut", "text"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the last one of a source may be cut after some words."""
-    taken = mixing.mix(docs).where("taken > 0").groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))
-    named = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "taken")
-    both = docs.select(*COLUMNS, mixing.words("text").alias("_words")).join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    """Documents as often as the mix takes them; the last one of a source may be cut after some words.
+
+    Rows with equal doc_id, text and source get the takes of equal rows, one each.
+    """
+    mixed = mixing.mix(docs).select(F.col("row_key").alias("_key"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken", "tie", "ties")
+    keyed = docs.select(*COLUMNS, mixing.row_key().alias("_row_key"))
+    same = (F.col("_row_key") == F.col("_key")) & F.col("source").eqNullSafe(F.col("_source"))
+    single = keyed.join(mixed.where("ties = 1 and taken > 0"), same)
+    several = mixed.where("ties > 1 and _size > 0")
+    place = Window.partitionBy("_row_key", "source").orderBy("lang", "n_chars")
+    numbered = keyed.join(several.where("tie = 1"), same, "left_semi").withColumn("_n", F.row_number().over(place))
+    tied = numbered.join(several.where("taken > 0"), same & (F.col("_n") == F.col("tie")))
+    both = single.unionByName(tied.drop("_n"))
     whole = F.floor(F.col("taken") / F.col("_size")).cast("int")
     rest = (F.col("taken") % F.col("_size")).cast("int")
     first = F.array_join(F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, rest), " ")
@@ -97,6 +111,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stage's result is written to the shared folder and read again as the next one's input."""
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for _, stage in STAGES:
+        made, before = len(Scratch.made), docs
         docs = scratch.save(stage(spark, docs, sf_dir))
+        Scratch.release(made)  # the next stage reads only what this one wrote
+        if hasattr(before, "_scratch_path"):
+            scratch.drop(before)
     return docs
