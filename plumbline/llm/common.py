@@ -124,6 +124,8 @@ def only_likely(df: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
     return df.withColumn("_bucket", bucket()).join(F.broadcast(numbers), "_bucket", "left_semi").drop("_bucket")
 
 
+#: So many edges may lie in one task.
+FEW_EDGES = 1 << 20
 #: Keys that hold more than one of so many parts of all rows are hot; there are fewer of them.
 HOT_PARTS = 4096
 
@@ -161,15 +163,21 @@ def components(edges: DataFrame, scratch: Scratch, limit: int = 60) -> DataFrame
     now = scratch.save(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     rows = _edge_sum(now)
     for _ in range(limit):
-        # a vertex with more edges than this is hot; there are fewer than HOT_PARTS of them
+        # a vertex with more edges than this is hot; there are fewer than HOT_PARTS of them, and none in a small table
         most = 2 * rows[0] // HOT_PARTS
+
+        def met(big: DataFrame, least: DataFrame, key: str) -> DataFrame:
+            if rows[0] <= FEW_EDGES:
+                return big.join(least.drop("rows"), key)
+            return spread_join(big, least.drop("rows"), key, least.where(F.col("rows") > most))
+
         # large star: every larger neighbour of a vertex is linked to its smallest neighbour
         ways = now.select(F.col("a").alias("v"), F.col("b").alias("u")).unionAll(now.select(F.col("b").alias("v"), F.col("a").alias("u")))
         least = ways.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("rows")).select("v", F.least("m", "v").alias("m"), "rows")
-        large = spread_join(ways, least.drop("rows"), "v", least.where(F.col("rows") > most)).where("u > v").select(F.col("u").alias("a"), F.col("m").alias("b")).distinct()
+        large = met(ways, least, "v").where("u > v").select(F.col("u").alias("a"), F.col("m").alias("b")).distinct()
         # small star: every smaller neighbour, and the vertex, is linked to the smallest
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("rows"))
-        small = spread_join(large, least.drop("rows"), "a", least.where(F.col("rows") > most)).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        small = met(large, least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         new = scratch.save(small)
         after = _edge_sum(new)
         scratch.drop(now)

@@ -89,6 +89,17 @@ def test_substring_checks_words():
     assert got.column("n_removed").to_pylist() == [60, 0]
 
 
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_components(spark, monkeypatch, few):
+    """Stars, a chain, a cycle and pairs, with hot vertices spread and not."""
+    monkeypatch.setattr(common, "FEW_EDGES", few)
+    monkeypatch.setattr(common, "HOT_PARTS", 16)
+    edges = [(5000, i) for i in range(300)] + [(400, i) for i in range(401, 600)] + [(i, i + 1) for i in range(700, 760)] + [(800, 801), (801, 802), (802, 800), (900, 901), (901, 900), (950, 950)]
+    got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long"), common.Scratch(spark)).collect()}
+    want = {i: 0 for i in (*range(300), 5000)} | {i: 400 for i in range(400, 600)} | {i: 700 for i in range(700, 761)} | {i: 800 for i in (800, 801, 802)} | {900: 900, 901: 900}
+    assert got == want
+
+
 @pytest.mark.parametrize("small", [64, 1])
 def test_ngram_join(spark, docs, rows, monkeypatch, small):
     monkeypatch.setattr(ngram_join, "SMALL", small)
