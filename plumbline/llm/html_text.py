@@ -4,20 +4,22 @@ A page is read as a stream of tags and character data. Elements that hold no tex
 styles, forms, ...) are skipped, block elements end a block, inline ones don't. A block knows its length,
 the share of its characters inside links, its stop-word density, and its place: inside an element of
 the page's frame (navigation, header, footer, aside, or a class or role that says so) or inside the
-article.
+article. Inside an article names say less: its header belongs to it, a heading or paragraph is never frame by
+its name, and other elements only by a name that is a frame word or has a part that an article doesn't use.
 
 Pass one decides blocks: the frame is boilerplate, whatever it holds; link-heavy blocks are; long blocks
 are text if stop words are frequent, boilerplate if they are rare, and headings, short and in-between
 ones stay open. An article element decides nothing: it only shifts the limits in favour of its blocks,
-and blocks outside of one go by the same limits as those of a page without any. Where no long block of
-an article holds stop words, its language isn't among the lists', and rare ones leave its blocks open.
+and those in which stop words are rare stay open, as tables and other languages have few of them; blocks
+outside of one go by the same limits as those of a page without any.
 Pass two gives open blocks the label of their nearest decided neighbours: text if both sides are text,
 or the nearer one is; headings look forward first. Inside an article only its own blocks outside the
 frame are neighbours.
 
 Defined cases: null and empty html give an empty text; unclosed and stray tags are tolerated, end tags
 close what they match and an end tag without a match is ignored; undecided blocks without any decided
-neighbour are text; rows with equal page_id are each their own; nothing is cut.
+neighbour are text; rows with equal page_id are each their own, further columns are left out; an empty table
+gives an empty one; time grows with a page's length, however its tags are nested; nothing is cut.
 """
 
 from __future__ import annotations
@@ -38,9 +40,12 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+FLOW = frozenset("p blockquote pre figure figcaption table thead tbody tr td th article main".split())
 
 # Words in a class, id or role that name parts of a page other than its article.
 FRAME_WORDS = frozenset("ad ads advert adverts advertisement advertising banner banners sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets related recommended share sharing social newsletter subscribe subscription signup login cookie cookies consent gdpr notice notices popup modal overlay comment comments respond reply replies disqus pagination pager toolbar complementary contentinfo search copyright legal disclaimer outbrain taboola".split())
+# Those that an article's own parts aren't named after.
+ALIEN_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation breadcrumb breadcrumbs sidebar widget widgets related recommended share sharing social newsletter subscribe subscription signup cookie cookies consent gdpr popup comment comments disqus pagination pager outbrain taboola".split())
 ARTICLE_WORDS = frozenset("article main".split())
 
 # The most frequent function words of English, German, French and Spanish.
@@ -61,8 +66,6 @@ ARTICLE_MAX_LINKS = 0.75
 ARTICLE_LONG = 70
 ARTICLE_HIGH_STOPS = 0.15
 ARTICLE_LOW_STOPS = 0.05
-# In fewer characters a paragraph may lack stop words by chance.
-ARTICLE_BARE = 280
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -81,18 +84,29 @@ class Block:
         self.label: bool | None = None
 
 
-def _names(attributes: str) -> tuple[set[str], bool]:
-    """Words of class, id and role, and whether the element is hidden."""
+def _names(attributes: str) -> tuple[set[str], set[str], bool]:
+    """Words of class, id and role, the names themselves, and whether the element is hidden."""
     words: set[str] = set()
+    whole: set[str] = set()
     hidden = False
     if attributes and not attributes.isspace():
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id", "role"):
                 words.update(_PARTS.findall(value))
+                whole.update(value.split())
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                 hidden = True
-    return words, hidden
+    return words, whole, hidden
+
+
+def _frames(name: str, words: set[str], whole: set[str], inside: bool) -> bool:
+    """Whether an element begins a part of the frame; inside: it lies in an article."""
+    if not inside:
+        return name in FRAME or bool(words & FRAME_WORDS)
+    if name in FRAME:
+        return name != "header"
+    return name not in HEADINGS and name not in FLOW and ("header" not in whole and bool(whole & FRAME_WORDS) or bool(words & ALIEN_WORDS))
 
 
 def blocks(page: str) -> list[Block]:
@@ -100,6 +114,7 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     # (name, skips, frame, article, heading, link) of the open elements; an article is its outermost element's number
     open_: list[tuple[str, bool, bool, int, bool, bool]] = []
+    depth: dict[str, int] = {}
     skips = frame = heading = link = False
     article = articles = 0
     now = Block(False, 0, False)
@@ -128,9 +143,10 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         if m[1]:
-            if any(x[0] == name for x in open_):
+            if depth.get(name):
                 while True:
                     top = open_.pop()
+                    depth[top[0]] -= 1
                     if top[0] == name:
                         break
                 if open_:
@@ -147,7 +163,7 @@ def blocks(page: str) -> list[Block]:
             elif name in ("br", "wbr") and not skips:
                 now.pieces.append(" " if name == "br" else "")
             continue
-        words, hidden = _names(m[3])
+        words, whole, hidden = _names(m[3])
         inside = bool(article) or name in ARTICLE or bool(words & ARTICLE_WORDS and not words & FRAME_WORDS)
         closed = m[3].endswith("/") and name in ("svg", "math")
         if name in RAW and not closed:
@@ -156,7 +172,7 @@ def blocks(page: str) -> list[Block]:
             at = over.end() if over else end
             continue
         if name in ("p", *HEADINGS) and open_ and open_[-1][0] == "p" or name == "li" and open_ and open_[-1][0] == "li":
-            open_.pop()
+            depth[open_.pop()[0]] -= 1
             if open_:
                 _, skips, frame, article, heading, link = open_[-1]
             else:
@@ -164,15 +180,16 @@ def blocks(page: str) -> list[Block]:
                 article = 0
             inside = bool(article)
         if name == "body" or name == "html":
-            words = set()
+            words = whole = set()
         skips = skips or hidden or name in SKIPPED
-        frame = frame or name in FRAME or bool(words & FRAME_WORDS)
+        frame = frame or _frames(name, words, whole, bool(article))
         if inside and not article:
             article = articles = articles + 1
         heading, link = heading or name in HEADINGS, link or name == "a"
         if name in BLOCKS:
             close()
         open_.append((name, skips, frame, article, heading, link))
+        depth[name] = depth.get(name, 0) + 1
     close()
     return found
 
@@ -182,12 +199,12 @@ def _stops(b: Block) -> float:
     return sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def _decide(b: Block, stops: float, known: bool) -> bool | None:
-    """Pass one: True is text, False boilerplate, None open. known: the lists know the language."""
+def _decide(b: Block, stops: float) -> bool | None:
+    """Pass one: True is text, False boilerplate, None open."""
     if b.article:
-        max_links, long, high, low, bare = ARTICLE_MAX_LINKS, ARTICLE_LONG, ARTICLE_HIGH_STOPS, ARTICLE_LOW_STOPS, ARTICLE_BARE
+        max_links, long, high, low = ARTICLE_MAX_LINKS, ARTICLE_LONG, ARTICLE_HIGH_STOPS, ARTICLE_LOW_STOPS
     else:
-        max_links, long, high, low, bare = MAX_LINKS, LONG, HIGH_STOPS, LOW_STOPS, LONG
+        max_links, long, high, low = MAX_LINKS, LONG, HIGH_STOPS, LOW_STOPS
     n = len(b.text)
     if b.frame or b.link / n > max_links:
         return False
@@ -195,7 +212,7 @@ def _decide(b: Block, stops: float, known: bool) -> bool | None:
         return None
     if n >= long and stops >= low or stops >= high:
         return True
-    return None if stops >= low or n < bare or not known else False
+    return None if stops >= low or n < long or b.article else False
 
 
 def _neighbours(found: list[Block], own: list[int], labels: list[bool | None]) -> None:
@@ -228,9 +245,7 @@ def _neighbours(found: list[Block], own: list[int], labels: list[bool | None]) -
 def main_text(page: str | None) -> str:
     """The main text's blocks, joined by an empty line."""
     found = blocks(page or "")
-    stops = [_stops(b) for b in found]
-    known = {b.article for b, s in zip(found, stops, strict=True) if not b.frame and len(b.text) >= ARTICLE_LONG and s >= ARTICLE_LOW_STOPS} | {0}
-    labels = [_decide(b, s, b.article in known) for b, s in zip(found, stops, strict=True)]
+    labels = [_decide(b, _stops(b)) for b in found]
     _neighbours(found, [i for i, b in enumerate(found) if not b.article or b.frame], labels)
     inside: dict[int, list[int]] = {}
     for i, b in enumerate(found):
