@@ -52,6 +52,7 @@ INVISIBLE = "­​‌‍⁠﻿︎️"
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 _STAND = re.compile(r"(?<=[^\W\d_])[0-9@$!|€+]+(?=[^\W\d_])|(?<![\w@$!|€+])[0-9@$€]+(?=[^\W\d_])|(?<=[^\W\d_]{2})[0-9]+(?![\w])")
 _WORD = re.compile(r"[^\W\d_]+")
+_AFTER = re.compile(r" [^\W\d_]+")
 
 
 class _Fold(dict):
@@ -139,6 +140,20 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(word=list(met), clean=pa.array([v[0] for v in met.values()], pa.int64()), toxic=pa.array([v[1] for v in met.values()], pa.int64()))
 
 
+def _phrases(t: str, s: int, e: int) -> list[str]:
+    """The hit at s to e with the whole word before it, and with the one after it."""
+    out, i = [], s - 1
+    if i > 0 and t[i] == " ":
+        while i and _WORD.match(t[i - 1]):
+            i -= 1
+        if i < s - 1:
+            out.append(t[i:e])
+    after = _AFTER.match(t, e)
+    if after:
+        out.append(t[s : after.end()])
+    return out
+
+
 def _contexts(model):
     """For every hit the phrases with the word before and after it."""
 
@@ -149,8 +164,7 @@ def _contexts(model):
                 t = fold(t)
                 own = set()
                 for s, e, _ in model.value.hits(t):
-                    before, after = re.search(r"[^\W\d_]+ $", t[max(0, s - 40) : s]), re.match(r" [^\W\d_]+", t[e : e + 40])
-                    own.update(x for x in ((before[0] + t[s:e]) if before else None, (t[s:e] + after[0]) if after else None) if x)
+                    own.update(_phrases(t, s, e))
                 for x in own:
                     met.setdefault(x, [0, 0])[1 if y else 0] += 1
             if met:
