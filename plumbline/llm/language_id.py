@@ -2,9 +2,9 @@
 
 Training counts words per language on at most SAMPLE_ROWS labelled documents (those of smallest hash of
 doc_id; whole texts). A word's counts are one row for a language and word; n-grams of 1 to MAX_GRAM
-characters are counted over the distinct words of each language. The model keeps the WORDS most frequent
-words and the GRAMS most frequent n-grams of every length in all, smoothed log frequencies for each
-language, so its size is fixed and it can be broadcast.
+characters are counted over the distinct words of each language. The model keeps the most frequent words
+(at most WORDS) and n-grams of every length (at most GRAMS each), keys met equally often together, as smoothed
+log frequencies for each language, so its size has a bound and it can be broadcast.
 
 A text is scored word by word. A known word adds its log frequencies. An unknown one backs off: the mean
 of its longest n-grams if any of them is known, else of the next shorter ones, down to single letters.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import textnum
@@ -124,10 +124,16 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     totals = np.zeros((MAX_GRAM + 1, len(langs)))
     for r in known:
         totals[r.kind, column[r.lang]] = r.n
+    # how many keys have each count tells how often a key must be met; keys of one count stay or go together
+    sums = scratch.save(each.groupBy("kind", "key").agg(F.sum("n").alias("m"), F.collect_list(F.struct("lang", "n")).alias("by")))
+    least = F.lit(0)
+    held = [0] * (MAX_GRAM + 1)
+    for kind, m, keys in sorted(map(tuple, sums.groupBy("kind", "m").count().collect()), key=lambda r: -r[1]):
+        held[kind] += keys
+        if held[kind] > (WORDS if kind == 0 else GRAMS) >= held[kind] - keys:
+            least = F.when(F.col("kind") == kind, m + 1).otherwise(least)
+    kept = sums.where(F.col("m") >= least).select("kind", "key", F.explode("by").alias("b"))
     # flat rows in Arrow batches: the driver holds no object for a row
-    ranked = each.groupBy("kind", "key").agg(F.sum("n").alias("m"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("m"), "key")))
-    kept = ranked.where(F.col("r") <= F.when(F.col("kind") == 0, WORDS).otherwise(GRAMS)).select("kind", "key", F.explode("by").alias("b"))
     tables: list[dict[str, int]] = [{} for _ in range(MAX_GRAM + 1)]
     place, lang, n, met = [], [], [], 0
     for b in kept.select("kind", "key", "b.lang", "b.n").toArrow().to_batches(max_chunksize=8192):
@@ -138,6 +144,7 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         lang += [column[x] for x in b.column(2).to_pylist()]
         n += b.column(3).to_pylist()
     scratch.drop(each)
+    scratch.drop(sums)
     filled = np.zeros((met, len(langs)))
     filled[place, lang] = n
     return Model(langs, tables, filled, totals)
