@@ -36,6 +36,7 @@ from plumbline.llm.common import Scratch
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 RANGE_ROWS = 1 << 14
+MIN_RANGE_BITS = 8
 RANGES = 256
 LAST = 1 << 16
 
@@ -108,7 +109,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     # equal rows are one row with their number
     slim = scratch.save(slim.groupBy("doc_id", "source", "size", "row_key").agg(F.count("*").alias("ties")))
     rows = slim.count()
-    shift = 32 - min(32, (rows // RANGE_ROWS).bit_length())
+    shift = 32 - min(32, max(MIN_RANGE_BITS, (rows // RANGE_ROWS).bit_length()))
     slim = slim.withColumn("_range", F.shiftright(F.conv(F.substring("row_key", 1, 8), 16, 10).cast("long"), shift))
     sums = slim.groupBy("source", "_range").agg(F.sum(F.col("size") * F.col("ties")).alias("_sum"))
     sources = targets(sums.groupBy("source").agg(F.sum("_sum").alias("source_size")), weights, epochs)
