@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import language_id, mixing, ngram_join, packing, substring_dedup
-from plumbline.llm.common import Scratch, table
+from plumbline.llm.common import Scratch, only_likely, table
 from plumbline.llm.queries import tokenizer
 
 ORACLE_SQL = None
@@ -82,13 +82,14 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     single = keyed.join(mixed.where("ties = 1 and taken > 0"), same)
     several = mixed.where("ties > 1 and _size > 0")
     place = Window.partitionBy("_row_key", "source").orderBy("lang", "n_chars")
-    numbered = keyed.join(several.where("tie = 1"), same, "left_semi").withColumn("_n", F.row_number().over(place))
+    first = several.where("tie = 1")
+    numbered = only_likely(keyed, ["_row_key"], first.select(F.col("_key").alias("_row_key"))).join(first, same, "left_semi").withColumn("_n", F.row_number().over(place))
     tied = numbered.join(several.where("taken > 0"), same & (F.col("_n") == F.col("tie")))
     both = single.unionByName(tied.drop("_n"))
     whole = F.floor(F.col("taken") / F.col("_size")).cast("int")
     rest = (F.col("taken") % F.col("_size")).cast("int")
-    first = F.array_join(F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, rest), " ")
-    copies = F.concat(F.array_repeat(F.col("text"), whole), F.when(rest > 0, F.array(first)).otherwise(F.array().cast("array<string>")))
+    begin = F.array_join(F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, rest), " ")
+    copies = F.concat(F.array_repeat(F.col("text"), whole), F.when(rest > 0, F.array(begin)).otherwise(F.array().cast("array<string>")))
     out = both.withColumn("text", F.explode(copies))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
