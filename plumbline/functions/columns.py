@@ -46,15 +46,17 @@ def finite(df: DataFrame, name: str) -> Column:
 def significant_digits(c: Column) -> Column:
     """Digits of the shortest decimal text that reads back as the value.
 
-    Counted as in a text that writes 1e-4 to 1e16 in full and always shows one decimal, so 5.0 has two.
+    Counted as in a text that writes 1e-4 to 1e16 in full and always shows one decimal, so 5.0 has two. Plain
+    string functions only; a value is written as text once for each of its uses here, so keep it out of
+    expressions that repeat it.
     """
     s = F.abs(c.cast("double")).cast("string")
-    mantissa, power = F.regexp_replace(s, "E.*$", ""), F.regexp_extract(s, "E(-?[0-9]+)$", 1)
-    whole, part = F.substring_index(mantissa, ".", 1), F.substring_index(mantissa, ".", -1)
-    count = F.length(F.regexp_replace(F.regexp_replace(mantissa, r"[^0-9]", ""), "^0+|0+$", ""))
-    plain = F.when(whole != "0", F.length(whole) - 1).otherwise(-(F.length(part) - F.length(F.regexp_replace(part, "^0+", "")) + 1))
-    e = F.when(power != "", power.try_cast("int")).otherwise(plain)
-    return F.when(c == 0, 0).when((e >= 16) | (e < -4), count).when(e >= count - 1, e + 2).otherwise(count).cast("long")
+    cut = F.instr(s, "E")
+    plain = F.length(F.ltrim(F.translate(s, ".", ""), F.lit("0")))
+    count = F.length(F.rtrim(F.translate(F.substring_index(s, "E", 1), ".", ""), F.lit("0")))
+    power = F.substring_index(s, "E", -1).try_cast("int")
+    written = F.when((power >= 16) | (power < -4), count).when(power >= count - 1, power + 2).otherwise(count)
+    return F.when(c == 0, 0).when(cut == 0, plain).otherwise(written).cast("long")
 
 
 def as_date(t: Column) -> Column:

@@ -34,8 +34,8 @@ MIN_RESIDUE_ROWS, RESIDUE_DECADES, FEW_DISTINCT = 20, 6, 5
 STEP_MAD_MULTIPLE, STEP_TAIL_QUANTILE, STEP_TAIL_MULTIPLE, MAD_TO_SIGMA, CONTEXT, MIN_STEP_ROWS = 20.0, 0.95, 4.0, 1.4826, 10, 20
 MAX_SHIFTS, MAX_GAPS_SHOWN, UNIT_TOLERANCE = 10, 5, 0.01
 UNIT_RATIOS = {1000.0: "a factor of 1000", 100.0: "a factor of 100", 10.0: "a factor of 10", 2.20462: "pounds per kilogram", 2204.62: "pounds per tonne", 1.10231: "short tons per tonne", 35.3147: "cubic feet per cubic metre", 6.28981: "barrels per cubic metre"}
-BYTE_CAP = 64 << 20
 DELIMITERS = (",", ";", "\t", "|")
+DELIMITER_CONFIDENCE = 0.95
 
 PERCENT_NAME = re.compile(r"(^|_)(pct|percent|pc|share|rate|ratio|util)|percent|_pct|pct_|%", re.I)
 AMOUNT_NAME = re.compile(r"(^|_)(qty|quantity|volume|vol|amount|amt|count|n|num|total|sum|tonnes|tons|tonnage|kg|lbs|pounds|bushels|bu|bags|barrels|bbl|head|acres|hectares|ha|units|value|revenue|sales|receipts|exports|imports|shipments|production|stocks_total)($|_)", re.I)

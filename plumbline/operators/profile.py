@@ -1,10 +1,14 @@
-"""The column profile: one aggregate over the whole table, then small follow-ups.
+"""The column profile, in groups of metrics that are asked for one by one.
 
-The wide aggregate has no distinct counts, so it is one partial aggregation and one small shuffle whatever
-the number of columns. Exact distinct counts are one more pass over (column, value) pairs that combine
-before they are shuffled; above the limit of exact counts they are HyperLogLog estimates inside the first
-pass. Exact quantiles keep a count for each distinct value of a column in memory: a column of very
-many distinct values has no bounded path.
+Numeric columns are unpivoted to (column, v), so a group is one narrow aggregate whatever the number of
+columns, and its generated code stays small:
+
+* counts, extremes and moments: partial aggregates, one row for each column and task is shuffled;
+* digits: values are combined first, so each distinct value is written as text once;
+* quantiles: sketches bracket each quantile in a first pass, a second one counts what lies below a bracket
+  and puts only the values inside in order, so no task holds all values of a column;
+* distinct values and top values: pairs (column, value) that combine before they are shuffled; above the
+  limit of exact counts distinct ones are HyperLogLog estimates.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import names
@@ -23,40 +27,76 @@ def text_value(c: Column, kind: str) -> Column:
     return F.to_json(F.struct(c)) if kind in ("nested", "other") else c.cast("string")
 
 
-def aggregates(df: DataFrame, name: str, kind: str) -> dict[str, Column]:
-    """Every metric of a column but distinct ones, by name."""
-    c = col(name)
-    out: dict[str, Column] = {"nulls": F.count_if(c.isNull())}
-    if kind == "numeric":
-        x = finite(df, name)
-        d = x.cast("double")
-        digits = significant_digits(x)
-        out |= {
-            "nonfinite": F.count_if(c.isNotNull() & nonfinite(c)) if floating(df, name) else F.lit(0).cast("long"),
-            "non_null": F.count(x), "min": F.min(x), "max": F.max(x), "mean": F.avg(d), "stddev": F.stddev_samp(d),
-            "quantiles": F.percentile(d, F.array(*[F.lit(q) for q in names.QUANTILES])),
-            "zeros": F.count_if(x == 0), "negatives": F.count_if(x < 0), "integral": F.bool_and(d == F.floor(d)),
-            "sig_max": F.max(digits), "sig_median": F.percentile(digits.cast("double"), F.lit(0.5)), "sig_high": F.count_if(digits >= names.DERIVED_DIGITS),
-            "sentinels": F.array(*[F.count_if(d == s) for s in names.NUMERIC_SENTINELS]),
-        }
-    elif kind in ("nested", "other"):
-        out |= {"non_null": F.count(c)}
-    else:
-        out |= {"non_null": F.count(c), "min": F.min(c), "max": F.max(c)}
-        if kind == "text":
-            out |= {"min_length": F.min(F.length(c)), "max_length": F.max(F.length(c))}
-    return out
+def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, v, odd): every value as a double, null where there is none; odd ones, not finite, as null."""
+    pairs = []
+    for c in columns:
+        x = finite(df, c).cast("double")
+        odd = col(c).isNotNull() & nonfinite(col(c)) if floating(df, c) else F.lit(False)
+        pairs.append(F.struct(F.lit(c).alias("column"), x.alias("v"), odd.alias("odd")))
+    return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
 
 
 def numeric_metrics(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, metric..., quantiles) with one row for each numeric column."""
-    parts = [F.struct(F.lit(c).alias("column"), *[v.cast("double").alias(k) if k in ("min", "max") else v.alias(k) for k, v in aggregates(df, c, "numeric").items()]) for c in columns]
-    return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    """(column, nulls, nonfinite, non_null, min, max, mean, stddev, zeros, negatives, integral, sentinels)."""
+    v = F.col("v")
+    counts = [F.count_if(v.isNull() & ~F.col("odd")).alias("nulls"), F.count_if("odd").alias("nonfinite"), F.count("v").alias("non_null"), F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives")]
+    shape = [F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("stddev"), F.bool_and(v == F.floor("v")).alias("integral")]
+    marks = [F.count_if(v == s).alias(f"_s{i}") for i, s in enumerate(names.NUMERIC_SENTINELS)]
+    out = long_values(df, columns).groupBy("column").agg(*counts, *shape, *marks)
+    return out.withColumn("sentinels", F.array(*[f"_s{i}" for i in range(len(marks))])).drop(*[f"_s{i}" for i in range(len(marks))])
+
+
+def digit_metrics(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, sig_max, sig_median, sig_high): significant digits of finite values."""
+    n = long_values(df, columns).where("v is not null").groupBy("column", "v").agg(F.count("*").alias("n"))
+    digits = n.select("column", significant_digits(F.col("v")).alias("g"), "n").groupBy("column", "g").agg(F.sum("n").alias("n"))
+    # a column has a few dozen lengths at most
+    return digits.groupBy("column").agg(F.max("g").alias("sig_max"), F.percentile(F.col("g").cast("double"), F.lit(0.5), F.col("n")).alias("sig_median"), F.coalesce(F.sum(F.when(F.col("g") >= names.DERIVED_DIGITS, F.col("n"))), F.lit(0)).alias("sig_high"))
+
+
+#: Rank error of the sketches that bracket quantiles is one of so many parts of all rows.
+SKETCH = 2000
+
+
+def exact_quantiles(series: DataFrame, wanted: tuple[float, ...] = names.QUANTILES) -> DataFrame:
+    """(column, quantiles) from (column, v): linear between neighbouring ranks, exact."""
+    series = series.select("column", "v").where("v is not null")
+    slack = 3 / SKETCH
+    # beyond the first and last rank there is nothing to look for
+    low, high = ([F.lit(min(1.0, max(0.0, q + d))) for q in wanted] for d in (-slack, slack))
+    sketch = series.groupBy("column").agg(F.count("*").alias("rows"), F.percentile_approx("v", F.array(*low), SKETCH).alias("low"), F.percentile_approx("v", F.array(*high), SKETCH).alias("high"))
+    open_low, open_high = F.array(*[F.lit(q <= slack) for q in wanted]), F.array(*[F.lit(q >= 1 - slack) for q in wanted])
+    sketch = sketch.withColumn("low", F.zip_with("low", open_low, lambda x, o: F.when(o, float("-inf")).otherwise(x))).withColumn("high", F.zip_with("high", open_high, lambda x, o: F.when(o, float("inf")).otherwise(x)))
+    sketch = F.broadcast(sketch)  # one row for each column
+    near = series.join(sketch, "column").withColumn("_at", F.sequence(F.lit(0), F.lit(len(wanted) - 1)))
+    inside = F.filter("_at", lambda i: (F.col("v") >= F.get("low", i)) & (F.col("v") <= F.get("high", i)))
+    below = series.join(sketch, "column").groupBy("column", "rows").agg(*[F.count_if(F.col("v") < F.get("low", F.lit(i))).alias(f"_b{i}") for i in range(len(wanted))])
+    below = below.select("column", "rows", F.array(*[f"_b{i}" for i in range(len(wanted))]).alias("below"))
+    counts = near.select("column", "v", F.explode(inside).alias("i")).groupBy("column", "i", "v").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("column", "i").orderBy("v"))
+    ranked = counts.withColumn("_upto", upto).join(F.broadcast(below), "column")
+    place = F.element_at(F.array(*[F.lit(q) for q in wanted]), F.col("i") + 1) * (F.col("rows") - 1)
+    upto = F.col("_upto") + F.get("below", F.col("i"))
+    # the value of rank r is the first one up to which more than r values lie
+    ends = ranked.groupBy("column", "i").agg(F.min(F.when(upto > F.floor(place), F.col("v"))).alias("a"), F.min(F.when(upto > F.ceil(place), F.col("v"))).alias("b"), F.first(place - F.floor(place)).alias("f"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("f")
+    return ends.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))).alias("q")).select("column", F.col("q.v").alias("quantiles"))
+
+
+def quantile_metrics(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, quantiles) of finite values, one for each of names.QUANTILES."""
+    return exact_quantiles(long_values(df, columns))
 
 
 def text_metrics(df: DataFrame, columns: list[str], kind: str = "text") -> DataFrame:
-    parts = [F.struct(F.lit(c).alias("column"), *[v.cast("string").alias(k) if k in ("min", "max") else v.alias(k) for k, v in aggregates(df, c, kind).items()]) for c in columns]
-    return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    """(column, nulls, non_null, min, max[, min_length, max_length]) as text."""
+    c = F.col("value")
+    metrics = [F.count_if(c.isNull()).alias("nulls"), F.count(c).alias("non_null"), F.min(c).alias("min"), F.max(c).alias("max")]
+    if kind == "text":
+        metrics += [F.min(F.length(c)).alias("min_length"), F.max(F.length(c)).alias("max_length")]
+    pairs = F.array(*[F.struct(F.lit(x).alias("column"), col(x).cast("string").alias("value")) for x in columns])
+    return df.select(F.explode(pairs).alias("p")).select("p.*").groupBy("column").agg(*metrics)
 
 
 def values(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -73,8 +113,6 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def top_values(df: DataFrame, columns: list[str], limit: int = names.TOP_LIMIT) -> DataFrame:
     """(column, value, n): the most frequent values, smaller first in a tie; for columns of few values."""
-    from pyspark.sql import Window
-
     counts = values(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))
     return counts.withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r")
@@ -163,15 +201,26 @@ def _plain(v: Any) -> Any:
 
 
 def profile_columns(df: DataFrame) -> list[ColumnProfile]:
-    """The profile of every column: one aggregate, one distinct job, one job of top values."""
+    """The profile of every column; each group of metrics is one job over all columns that have it."""
     k = kinds(df)
-    parts = {c: aggregates(df, c, k[c]) for c in df.columns}
-    row = df.agg(F.count("*").alias("rows"), *[F.struct(*[v.alias(m) for m, v in p.items()]).alias(f"c{i}") for i, p in enumerate(parts.values())]).first()
-    n = row["rows"]
     out = []
-    exact = n <= names.EXACT_DISTINCT_LIMIT
     if not df.columns:
         return out
+    # extremes keep their own types here, and every column's nulls are counted
+    plain = [F.count("*").alias("rows")]
+    for i, c in enumerate(df.columns):
+        x = finite(df, c)
+        plain += [F.count(col(c)).alias(f"n{i}")] + ([F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")] if k[c] not in ("nested", "other") else [])
+        plain += [F.min(F.length(x)).alias(f"c{i}"), F.max(F.length(x)).alias(f"d{i}")] if k[c] == "text" else []
+    row = df.agg(*plain).first().asDict()
+    n = row["rows"]
+    numeric = [c for c in df.columns if k[c] == "numeric"]
+    metrics: dict[str, dict] = {c: {} for c in df.columns}
+    if numeric:
+        for part in (numeric_metrics, digit_metrics, quantile_metrics):
+            for r in part(df, numeric).collect():
+                metrics[r["column"]] |= r.asDict()
+    exact = n <= names.EXACT_DISTINCT_LIMIT
     if exact:
         distinct = {r["column"]: r["distinct"] for r in distinct_counts(df, df.columns).collect()}
     else:
@@ -182,16 +231,17 @@ def profile_columns(df: DataFrame) -> list[ColumnProfile]:
     for r in (top_values(df, few).orderBy("column", F.desc("n"), "value").collect() if few else []):
         tops.setdefault(r["column"], []).append((r["value"], r["n"]))
     for i, f in enumerate(df.schema.fields):
-        m = row[f"c{i}"].asDict()
+        m = metrics[f.name]
         p = ColumnProfile(f.name, f.dataType.simpleString(), k[f.name], n, distinct=distinct.get(f.name, 0), distinct_exact=exact, top=tops.get(f.name, []))
-        for key, v in m.items():
-            if key == "quantiles":
-                p.quantiles = dict(zip(names.QUANTILES, v, strict=True)) if v else {}
-            elif key == "sentinels":
-                ends = {float(x) for x in (m["min"], m["max"]) if x is not None}
-                p.sentinels = {s: c for s, c in zip(names.NUMERIC_SENTINELS, v, strict=True) if c and s in ends}
-            else:
-                setattr(p, key, v)
+        p.nulls, p.non_null = n - row[f"n{i}"], row[f"n{i}"] - (m.get("nonfinite") or 0)
+        p.min, p.max, p.min_length, p.max_length = (row.get(f"{x}{i}") for x in "abcd")
+        for key in ("nonfinite", "zeros", "negatives", "sig_high"):
+            setattr(p, key, m.get(key) or 0)
+        for key in ("mean", "stddev", "integral", "sig_max", "sig_median"):
+            setattr(p, key, m.get(key))
+        p.quantiles = dict(zip(names.QUANTILES, m["quantiles"], strict=True)) if m.get("quantiles") else {}
+        ends = {float(x) for x in (p.min, p.max) if x is not None} if f.name in numeric else set()
+        p.sentinels = {s: c for s, c in zip(names.NUMERIC_SENTINELS, m.get("sentinels") or (), strict=False) if c and s in ends}
         out.append(p)
     return out
 
@@ -199,22 +249,30 @@ def profile_columns(df: DataFrame) -> list[ColumnProfile]:
 def same_rows(df: DataFrame, flags: dict[str, Column], counts: dict[str, int]) -> list[list[str]]:
     """Blocks of columns whose flags are set on exactly the same rows.
 
-    Only columns with equal counts are compared, each with the first of its block, in one aggregate.
+    A column's rows are told by sums of two hashes of a row's values over the rows where its flag is set; one
+    pass gives every column's, whatever the number of columns. Equal sums and counts name candidates, and one
+    more aggregate compares each with the first of its block.
     """
     by: dict[int, list[str]] = {}
     for c, n in counts.items():
         if n:
             by.setdefault(n, []).append(c)
-    pairs = [(a, b, n) for n, cs in by.items() for i, a in enumerate(cs) for b in cs[i + 1 :]]
-    if not pairs:
+    likely = [c for cs in by.values() if len(cs) > 1 for c in cs]
+    if not likely:
         return []
-    row = df.agg(*[F.count_if(flags[a] & flags[b]) for a, b, _ in pairs]).first()
-    out: list[list[str]] = []
-    for (a, b, n), both in zip(pairs, row, strict=True):
-        if both == n:
-            block = next((x for x in out if a in x or b in x), None)
-            if block is None:
-                out.append([a, b])
-            else:
-                block.extend(x for x in (a, b) if x not in block)
-    return out
+    # rows are equal for this purpose if all flags of the candidates are
+    pattern = F.xxhash64(*[F.coalesce(flags[c], F.lit(False)) for c in likely])
+    sums = df.select(pattern.alias("_h"), *[F.coalesce(flags[c], F.lit(False)).alias(f"f{i}") for i, c in enumerate(likely)])
+    row = sums.agg(*[F.sum(F.when(F.col(f"f{i}"), F.col("_h").cast("decimal(38,0)"))).alias(f"s{i}") for i in range(len(likely))]).first()
+    blocks: dict[tuple, list[str]] = {}
+    for c, total in zip(likely, row, strict=True):
+        blocks.setdefault((counts[c], total), []).append(c)
+    tried = [(b[0], c, n) for (n, _), b in blocks.items() for c in b[1:]]
+    if not tried:
+        return []
+    both = df.agg(*[F.count_if(flags[a] & flags[c]) for a, c, _ in tried]).first()
+    out: dict[str, list[str]] = {}
+    for (a, c, n), hits in zip(tried, both, strict=True):
+        if hits == n:
+            out.setdefault(a, [a]).append(c)
+    return list(out.values())

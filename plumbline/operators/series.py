@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import names
 from plumbline.functions.columns import as_date, col, finite
+from plumbline.operators.profile import exact_quantiles
 
 
 def long(df: DataFrame, time: Column, keys: list[str], columns: list[str]) -> DataFrame:
@@ -41,13 +42,18 @@ def modal_gap(g: DataFrame) -> DataFrame:
 
 
 def cadence_gaps(df: DataFrame, time: Column, keys: list[str]) -> DataFrame:
-    """(k, prev, t, gap, cadence, missing): gaps longer than the usual one; weekends of daily data aren't."""
+    """(k, prev, t, gap, cadence, missing, why): what is longer than the usual gap, and why.
+
+    A hole has lost at least one whole period. Jitter is longer than a period, but lost none, and the weekend
+    of daily data isn't a hole.
+    """
     g = gaps(df, time, keys)
     one = modal_gap(g).select(F.col("gap").alias("cadence"))
     wide = g.crossJoin(F.broadcast(one)).where("gap > cadence")
     weekend = (F.col("cadence") == 1) & (F.col("gap") == 3) & (F.dayofweek("prev_day") == 6)
     missing = F.greatest(F.lit(0), F.bround(F.col("gap") / F.col("cadence")) - 1).cast("long")
-    return wide.where(~weekend).select("k", "prev", "t", "gap", "cadence", missing.alias("missing"))
+    why = F.when(weekend, "weekend").when(F.col("missing") > 0, "hole").otherwise("jitter")
+    return wide.withColumn("missing", missing).withColumn("why", why).select("k", "prev", "t", "gap", "cadence", "missing", "why")
 
 
 def inversions(df: DataFrame, order: list[Column], time: Column, keys: list[str]) -> DataFrame:
@@ -106,13 +112,14 @@ def steps(series: DataFrame, logged: list[str]) -> DataFrame:
 def level_shifts(series: DataFrame, logged: list[str]) -> DataFrame:
     """(column, k, t, step, before, after, excess): at most ten steps a column far outside of its others.
 
-    Scales are pooled over the series of a column; both are exact percentiles.
+    Scales are pooled over the series of a column; they are exact quantiles that no single task computes.
     """
     s = steps(series, logged)
-    # a second aggregate needs the first one's medians, so the steps are read twice, not three times
-    middle = s.where("step is not null").groupBy("column").agg(F.percentile("step", F.lit(0.5)).alias("m"))
-    off = s.where("step is not null").join(F.broadcast(middle), "column").withColumn("excess", F.abs(F.col("step") - F.col("m")))
-    scale = off.groupBy("column").agg((names.MAD_TO_SIGMA * F.percentile("excess", F.lit(0.5))).alias("mad"), F.percentile("excess", F.lit(names.STEP_TAIL_QUANTILE)).alias("tail"))
+    known = s.where("step is not null")
+    middle = exact_quantiles(known.select("column", F.col("step").alias("v")), (0.5,)).select("column", F.col("quantiles")[0].alias("m"))
+    off = known.join(F.broadcast(middle), "column").withColumn("excess", F.abs(F.col("step") - F.col("m")))
+    scale = exact_quantiles(off.select("column", F.col("excess").alias("v")), (0.5, names.STEP_TAIL_QUANTILE))
+    scale = scale.select("column", (names.MAD_TO_SIGMA * F.col("quantiles")[0]).alias("mad"), F.col("quantiles")[1].alias("tail"))
     far = off.join(F.broadcast(scale), "column").where((F.col("mad") > 0) & (F.col("excess") > names.STEP_MAD_MULTIPLE * F.col("mad")) & (F.col("excess") > names.STEP_TAIL_MULTIPLE * F.col("tail")))
     rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("excess"), "t", "k"))
     return far.withColumn("_r", rank).where(F.col("_r") <= names.MAX_SHIFTS).select("column", "k", "t", "step", "before", "after", "excess")

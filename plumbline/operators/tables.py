@@ -18,6 +18,12 @@ def mojibake(df: DataFrame, columns: list[str]) -> DataFrame:
     return hits.groupBy("column", "v").agg(F.count("*").alias("n")).groupBy("column").agg(F.sum("n").alias("hits"), F.count("*").alias("distinct_values"))
 
 
+def mojibake_examples(df: DataFrame, column: str, n: int = 5) -> list[str]:
+    """The first few different values, in order."""
+    hits = df.where(col(column).rlike(names.MOJIBAKE)).select(col(column).alias("v")).distinct()
+    return [r.v for r in hits.orderBy("v").limit(n).collect()]
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """(rows, distinct_rows, excess_rows); nested columns are compared as JSON, as maps don't group."""
     keys = [F.to_json(F.struct(col(f.name))).alias(f"k{i}") if f.dataType.typeName() in ("map", "variant") else col(f.name).alias(f"k{i}") for i, f in enumerate(df.schema.fields)]
@@ -58,21 +64,18 @@ class Level:
 
 
 def classify_measures(columns: dict[str, str], excluded: set[str], declared: dict | None = None) -> dict[str, str]:
-    """sum, mean or none for each numeric column: what is declared, else sums for names of amounts."""
+    """sum or mean for each numeric column that isn't excluded.
+
+    What is declared goes before names of amounts: additive columns first, then aggregate, where none leaves a
+    column out and unknown words say nothing, then non_additive.
+    """
     declared = declared or {}
-    out = {}
-    for c, k in columns.items():
-        if k != "numeric" or c in excluded:
-            continue
-        if c in declared.get("aggregate", {}):
-            out[c] = declared["aggregate"][c]
-        elif c in declared.get("additive", ()):
-            out[c] = "sum"
-        elif c in declared.get("non_additive", ()):
-            out[c] = "mean"
-        else:
-            out[c] = "sum" if names.AMOUNT_NAME.search(c) else "mean"
-    return {c: a for c, a in out.items() if a != "none"}
+    stated = dict.fromkeys(declared.get("non_additive") or (), "mean")
+    stated |= {c: how for c, how in (declared.get("aggregate") or {}).items() if how in ("sum", "mean", "none")}
+    stated |= dict.fromkeys(declared.get("additive") or (), "sum")
+    numeric = [c for c, k in columns.items() if k == "numeric" and c not in excluded]
+    found = {c: stated.get(c) or ("sum" if names.AMOUNT_NAME.search(c) else "mean") for c in numeric}
+    return {c: how for c, how in found.items() if how != "none"}
 
 
 def levels(group_columns: list[str], measures: dict[str, str]) -> list[Level]:
@@ -110,9 +113,18 @@ def value_bins(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
     return df.select(x.alias("x")).where("x is not null").crossJoin(F.broadcast(ends)).groupBy(at.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def coverage_cells(df: DataFrame, time: Column, cadence: int, limit: int = 420) -> DataFrame:
-    """(d, present): days that are there and, at the cadence, those that are missing; the last ones."""
+def coverage_cells(df: DataFrame, time: Column, cadence: int, limit: int = 420, focus: Column | None = None) -> DataFrame:
+    """(d, present): days that are there and whole periods that are missing between them.
+
+    At most `limit` cells: the last ones, or as many on either side of the day `focus`. A day that only slips
+    by less than a period leaves no hole.
+    """
     days = df.select(as_date(time).alias("d")).where("d is not null").distinct()
-    holes = days.withColumn("p", F.lag("d").over(Window.orderBy("d"))).where(F.datediff("d", "p") > cadence)
-    missing = holes.select(F.explode(F.sequence(F.date_add("p", cadence), F.date_sub("d", 1), F.expr(f"interval {cadence} days"))).alias("d"))
-    return days.select("d", F.lit(True).alias("present")).unionAll(missing.select(F.col("d").cast("date"), F.lit(False).alias("present"))).orderBy(F.desc("d")).limit(limit)
+    # un-keyed, but with one row for a day of the calendar
+    holes = days.withColumn("p", F.lag("d").over(Window.orderBy("d"))).withColumn("m", F.bround(F.datediff("d", "p") / cadence).cast("int") - 1).where("m > 0")
+    missing = holes.select("p", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("i")).select(F.date_add("p", F.col("i") * cadence).alias("d"))
+    cells = days.select("d", F.lit(True).alias("present")).unionAll(missing.select("d", F.lit(False).alias("present")))
+    if focus is None:
+        return cells.orderBy(F.desc("d")).limit(limit)
+    back = cells.where(F.col("d") < focus).orderBy(F.desc("d")).limit(limit // 2)
+    return back.unionAll(cells.where(F.col("d") >= focus).orderBy("d").limit(limit - limit // 2))

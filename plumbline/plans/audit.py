@@ -23,6 +23,7 @@ from plumbline.operators import tables as T
 from plumbline.operators.profile import ColumnProfile, profile_columns, same_rows
 from plumbline.operators.structure import Structure, infer
 from plumbline.plans.manifest import Manifest, discover
+from plumbline.sources import rawscan
 from plumbline.sources.tables import Source, load
 
 DEFECT, SUSPECT, BOOKKEEPING = "defect", "suspect", "bookkeeping"
@@ -75,8 +76,8 @@ class Context:
         return self.profile[0].rows if self.profile else 0
 
     def numeric(self, rows: int = 1, distinct: int = 1) -> list[ColumnProfile]:
-        taken = {self.structure.time_axis, *self.structure.time_parts, *self.structure.group_columns}
-        return [p for p in self.profile if p.kind == "numeric" and p.non_null >= rows and p.distinct >= distinct and p.name not in taken]
+        """All numeric columns with enough values, keys and parts of dates among them."""
+        return [p for p in self.profile if p.kind == "numeric" and p.non_null >= rows and p.distinct >= distinct]
 
     def cadence(self) -> int | None:
         if self._cadence is None:
@@ -114,7 +115,7 @@ def schema_drift(c: Context) -> list[Finding]:
 
 def mojibake(c: Context) -> list[Finding]:
     found = T.mojibake(c.df, [p.name for p in c.profile if p.kind == "text"]).orderBy("column").collect()
-    return [Finding("mojibake", r["column"], DEFECT, HIGH, f"{r['hits']} values of {r['column']} were decoded wrongly", {"hits": r["hits"], "distinct_values": r["distinct_values"]}, f"`{r['column']}` RLIKE '{names.MOJIBAKE}'") for r in found]
+    return [Finding("mojibake", r["column"], DEFECT, HIGH, f"{r['hits']} values of {r['column']} were decoded wrongly", {"hits": r["hits"], "distinct_values": r["distinct_values"], "examples": T.mojibake_examples(c.df, r["column"])}, f"`{r['column']}` RLIKE '{names.MOJIBAKE}'", raw_values=True) for r in found]
 
 
 def duplicate_rows(c: Context) -> list[Finding]:
@@ -144,11 +145,14 @@ def future_dates(c: Context) -> list[Finding]:
 
 def cadence_gap(c: Context) -> list[Finding]:
     g = S.cadence_gaps(c.df, c.structure.time, c.structure.group_columns)
-    r = g.agg(F.count("*").alias("gaps"), F.sum("missing").alias("missing"), F.count_if(F.col("missing") == 0).alias("jitter"), F.max("gap").alias("longest")).first()
-    if not r["gaps"]:
+    by = {r["why"]: r for r in g.groupBy("why").agg(F.count("*").alias("n"), F.sum("missing").alias("missing"), F.max("gap").alias("longest")).collect()}
+    if "hole" not in by:
         return []
-    shown = [{"from": str(x["prev"]), "to": str(x["t"]), "days": x["gap"], "missing": x["missing"]} for x in g.orderBy(F.desc("gap"), "t").limit(names.MAX_GAPS_SHOWN).collect()]
-    return [Finding("cadence_gap", c.structure.time_axis, SUSPECT, MEDIUM, f"{r['gaps']} gaps are longer than the usual {c.cadence()} days", r.asDict() | {"cadence": c.cadence(), "largest": shown}, f"days since the row before > {c.cadence()}")]
+    hole = by["hole"]
+    shown = [{"from": str(x["prev"]), "to": str(x["t"]), "days": x["gap"], "missing": x["missing"], "series": [str(v) for v in x["k"]] if c.structure.group_columns else []} for x in g.where("why = 'hole'").orderBy(F.desc("gap"), "t").limit(names.MAX_GAPS_SHOWN).collect()]
+    ev = {"gaps": hole["n"], "missing": hole["missing"], "longest": hole["longest"], "cadence": c.cadence(), "largest": shown}
+    ev |= {f"{why}_excluded": by[why]["n"] if why in by else 0 for why in ("jitter", "weekend")}
+    return [Finding("cadence_gap", c.structure.time_axis, SUSPECT, MEDIUM, f"{hole['n']} gaps lose {hole['missing']} periods of the usual {c.cadence()} days", ev, f"days since the row before > {c.cadence()}, a whole period missing")]
 
 
 def file_order(c: Context) -> list[Finding]:
@@ -157,7 +161,7 @@ def file_order(c: Context) -> list[Finding]:
         return []
     panel = bool(c.structure.group_columns)
     mild = (panel and not r["in_series"]) or r["last_stored"] == r["latest"]
-    return [Finding("file_order", c.structure.time_axis, SUSPECT if mild else DEFECT, HIGH, f"{r['inversions']} rows are stored before earlier ones", {"inversions": r["inversions"], "in_series": r["in_series"], "last_stored": str(r["last_stored"]), "latest": str(r["latest"])}, "date < lag(date) in stored order")]
+    return [Finding("file_order", None, SUSPECT if mild else DEFECT, HIGH, f"{r['inversions']} rows are stored before earlier ones", {"inversions": r["inversions"], "in_series": r["in_series"], "last_stored": str(r["last_stored"]), "latest": str(r["latest"])}, "date < lag(date) in stored order")]
 
 
 def stale_tail(c: Context) -> list[Finding]:
@@ -171,7 +175,7 @@ def stale_tail(c: Context) -> list[Finding]:
     limit = max(2 * worst, 3 * cadence)
     if behind <= limit:
         return []
-    return [Finding("stale_tail", c.structure.time_axis, DEFECT if stamp and behind >= 3 * cadence else SUSPECT, HIGH if stamp else MEDIUM, f"the last observation is {behind} days old", {"behind": behind, "limit": limit, "cadence": cadence, "worst_gap": worst, "reference": str(r["ref"]), "stamp": stamp}, f"max(date) < reference - {limit}")]
+    return [Finding("stale_tail", None, DEFECT if stamp and behind >= 3 * cadence else SUSPECT, HIGH if stamp else MEDIUM, f"the last observation is {behind} days old", {"behind": behind, "limit": limit, "cadence": cadence, "worst_gap": worst, "reference": str(r["ref"]), "stamp": stamp}, f"max(date) < reference - {limit}")]
 
 
 def flatline_tail(c: Context) -> list[Finding]:
@@ -182,12 +186,12 @@ def flatline_tail(c: Context) -> list[Finding]:
 def saturation_at_bound(c: Context) -> list[Finding]:
     out = []
     for r in T.bounds_hit(c.df, [p.name for p in c.numeric(names.MIN_SATURATION_ROWS, names.MIN_SATURATION_DISTINCT)]).orderBy("column").collect():
-        scale = max(abs(r["low"]), abs(r["high"]), 1e-300)
+        scale = max(abs(r["low"]), abs(r["high"]), 1.0)
         for side, bound, hits in (("maximum", r["high"], r["at_high"]), ("minimum", r["low"], r["at_low"])):
             share = hits / r["non_null"]
-            if hits < 2 or share < names.SATURATION_SHARE or side == "minimum" and abs(bound) <= 1e-9 * scale:
+            if hits < 2 or share < names.SATURATION_SHARE or side == "minimum" and abs(bound) < 1e-9 * scale:
                 continue
-            sure = bound in names.ROUND_BOUNDS and share > 0.5
+            sure = share > 0.5 and any(math.isclose(bound, b, rel_tol=0, abs_tol=1e-9 * max(1.0, abs(b))) for b in names.ROUND_BOUNDS)
             out.append(Finding("saturation_at_bound", r["column"], DEFECT if sure else SUSPECT, HIGH if sure else MEDIUM, f"{hits} values of {r['column']} sit on its {side}", {"bound": bound, "side": side, "hits": hits, "share": round(share, 4)}, f"`{r['column']}` = {bound}", raw_values=True))
     return out
 
@@ -208,28 +212,40 @@ def unit_of(step: float) -> str | None:
     return next((t for u, t in names.UNIT_RATIOS.items() if abs(ratio - u) <= names.UNIT_TOLERANCE * u), None)
 
 
-def grade_shifts(rows: list[dict], logged: set[str], numeric: int) -> list[Finding]:
-    """Grades candidates: spikes, unit changes, breaks of the whole file, and the rest."""
-    by_day: dict[Any, set[str]] = {}
+def grade_shifts(rows: list[dict], logged: set[str], columns: list[str]) -> list[Finding]:
+    """Grades candidates: spikes, unit changes, breaks of the whole file, and the rest.
+
+    Candidates of a column are taken by size. One that doesn't last is a spike, which was met twice: the largest
+    other step of its column in the opposite direction is its way back and is left out, wherever it lies.
+    """
+    at: dict[str, set[str]] = {}
     for r in rows:
-        by_day.setdefault(str(r["t"])[:10], set()).add(r["column"])
-    wide = max(2, (numeric + 1) // 2)
-    out, silenced = [], set()
-    order = sorted(rows, key=lambda r: (r["column"], str(r["t"])))
-    for i, r in enumerate(order):
-        if i in silenced or r["before"] is None or r["after"] is None:
+        at.setdefault(str(r["t"]), set()).add(r["column"])
+    wide = max(2, (len(columns) + 1) // 2)
+    place = {c: i for i, c in enumerate(columns)}
+    order = sorted(rows, key=lambda r: (place[r["column"]], -r["excess"], str(r["t"])))
+    out: list[Finding] = []
+    back: set[tuple[str, str]] = set()
+    for r in order:
+        here = str(r["t"])
+        if (r["column"], here) in back or r["before"] is None or r["after"] is None:
             continue
         moved = r["after"] - r["before"]
         persists = abs(moved) >= 0.5 * abs(r["step"]) and moved * r["step"] > 0
         if not persists:
-            back = next((j for j in range(i + 1, len(order)) if order[j]["column"] == r["column"] and order[j]["step"] * r["step"] < 0 and j not in silenced), None)
-            if back is not None:
-                silenced.add(back)
+            back |= {(o["column"], str(o["t"])) for o in [o for o in order if o["column"] == r["column"] and str(o["t"]) != here and o["step"] * r["step"] < 0][:1]}
         unit = unit_of(r["step"]) if r["column"] in logged else None
-        n = len(by_day[str(r["t"])[:10]])
-        grade = (SUSPECT, MEDIUM) if not persists else (DEFECT, HIGH) if unit or n >= wide and numeric > 1 else (SUSPECT, LOW)
-        what = "reverts" if not persists else unit or ("breaks with the file" if n >= wide and numeric > 1 else "persists")
-        out.append(Finding("level_shift", r["column"], *grade, f"{r['column']} steps at {str(r['t'])[:10]}: {what}", {"t": str(r["t"]), "step": r["step"], "before": r["before"], "after": r["after"], "persists": persists, "unit": unit, "columns_breaking": n, "log": r["column"] in logged}, f"date = '{r['t']}'"))
+        together = sorted(at[here])
+        if not persists:
+            grade, what = (SUSPECT, MEDIUM), "reverts"
+        elif unit:
+            grade, what = (DEFECT, HIGH), unit
+        elif len(together) >= wide:
+            grade, what = (DEFECT, HIGH), "breaks with the file"
+        else:
+            grade, what = (SUSPECT, LOW), "persists"
+        ev = {"t": here, "step": r["step"], "before": r["before"], "after": r["after"], "persists": persists, "unit": unit, "columns_breaking": together, "log": r["column"] in logged}
+        out.append(Finding("level_shift", r["column"], *grade, f"{r['column']} steps at {here[:10]}: {what}", ev, f"date = '{here}'"))
     return out
 
 
@@ -237,7 +253,7 @@ def level_shift(c: Context) -> list[Finding]:
     cols = c.numeric(names.MIN_STEP_ROWS, 3)
     logged = [p.name for p in cols if float(p.min) > 0]
     rows = [r.asDict() for r in S.level_shifts(c.long([p.name for p in cols]), logged).collect()]
-    return grade_shifts(rows, set(logged), len(cols))
+    return grade_shifts(rows, set(logged), [p.name for p in cols])
 
 
 def _has(c: Context, ok: bool, why: str) -> Gate:
@@ -259,7 +275,7 @@ class Check:
     run: Callable[[Context], list[Finding]]
 
 
-CATALOG_VERSION = "2026.08.5"
+CATALOG_VERSION = "plumbline-2"
 CATALOG = [
     Check("constant_numeric", "a numeric column with one value", lambda c: _has(c, c.rows >= 2 and any(p.kind == "numeric" for p in c.profile), "no numeric column, or fewer than 2 rows"), constant_numeric),
     Check("schema_drift", "columns that came or went", lambda c: _has(c, bool(c.manifest and c.manifest.drift([])), "no manifest lists the columns"), schema_drift),
@@ -288,13 +304,19 @@ class Audit:
     level: str = "file"
     rollups: list[Audit] = field(default_factory=list)
     skipped: list = field(default_factory=list)
+    raw: rawscan.RawEvidence | None = None
+    context: Context | None = None
 
     def to_dict(self) -> dict:
-        return {"schema_version": 1, "catalog_version": CATALOG_VERSION, "level": self.level, "provenance": self.provenance, "structure": self.structure.to_dict(), "columns": [p.to_dict() for p in self.profile], "notes": [n.__dict__ for n in self.notes], "findings": [f.to_dict() for f in self.findings], "coverage": {k: [{"check_id": i, "reason": r} for i, s, r in self.coverage if s == k] for k in ("ran", "withheld", "blocked")}, "questions": [n.__dict__ for n in self.questions()], "rollups": [r.to_dict() for r in self.rollups]}
+        return {"schema_version": 1, "catalog_version": CATALOG_VERSION, "level": self.level, "provenance": self.provenance, "structure": self.structure.to_dict(), "columns": [p.to_dict() for p in self.profile], "notes": [n.__dict__ for n in self.notes], "findings": [f.to_dict() for f in self.findings], "coverage": {k: [{"check_id": i, "reason": r} for i, s, r in self.coverage if s == k] for k in ("ran", "withheld", "blocked")}, "questions": [n.__dict__ for n in self.questions()], "declined_questions": [n.__dict__ for n in self.declined()], "raw": self.raw.to_dict() if self.raw else None, "rollups": [r.to_dict() for r in self.rollups]}
 
     def questions(self) -> list[Note]:
         return [n for n in self.notes if n.severity == "question" and n.code not in self.skipped]
 
+    def declined(self) -> list[Note]:
+        """Questions that somebody has seen and chose not to answer: a decision, not open work."""
+        return [n for n in self.notes if n.severity == "question" and n.code in self.skipped]
+
     def findings_df(self, spark: SparkSession) -> DataFrame:
         rows = [(self.level, f.check_id, f.column, f.disposition, f.confidence, f.summary, f.predicate, json.dumps(f.evidence, default=str)) for a in (self, *self.rollups) for f in a.findings]
         return spark.createDataFrame(rows, "level string, check_id string, column string, disposition string, confidence string, summary string, predicate string, evidence string")
@@ -304,25 +326,75 @@ class Audit:
 
 
 def corroborate(findings: list[Finding]) -> list[Finding]:
-    """Two checks that flag one column raise medium confidence to high."""
+    """Another check that flags the same column raises medium confidence to high and is named in the inputs.
+
+    Findings of high confidence need no support and stay as they are.
+    """
     by: dict[str, set[str]] = {}
     for f in findings:
         if f.column:
             by.setdefault(f.column, set()).add(f.check_id)
     for f in findings:
-        others = sorted(by.get(f.column, set()) - {f.check_id}) if f.column else []
+        others = sorted(by.get(f.column, set()) - {f.check_id}) if f.column and f.confidence != HIGH else []
         if others:
-            f.inputs += [f"independently flagged by {o}" for o in others]
+            f.inputs.append(f"independently flagged by {', '.join(others)}")
             f.confidence = HIGH if f.confidence == MEDIUM else f.confidence
     return findings
 
 
+def decimal_notes(raw: rawscan.RawEvidence) -> list[Note]:
+    """One convention for the whole file: a decisive value anywhere settles the ambiguous ones everywhere."""
+    eu, us = (sum(t[f"number_{c}"] for t in raw.fields.values()) for c in ("eu", "us"))
+    unclear = {name: t["number_ambiguous"] for name, t in raw.fields.items() if t["number_ambiguous"]}
+    ev = {"ambiguous_values": sum(unclear.values()), "columns": list(unclear)}
+    if eu and us:
+        return [Note("question", "decimal_separator_conflicting", None, "numbers are written in both decimal conventions", {"eu": eu, "us": us})]
+    if not unclear:
+        return []
+    shown = f"{ev['ambiguous_values']} numbers could be read in both decimal conventions"
+    if eu or us:
+        sep = "," if eu else "."
+        return [Note("observation", "decimal_separator_resolved", None, f"{shown}; others settle that the separator is {sep}", ev | {"separator": sep})]
+    if raw.delimiter == ",":
+        # a comma between fields is hardly a comma inside numbers
+        return [Note("observation", "decimal_separator_assumed", None, f"{shown}; the separator is taken to be a point", ev | {"separator": ".", "assumed": True})]
+    return [Note("question", "decimal_separator_ambiguous", None, f"{shown}; which one is it?", ev | {"delimiter": raw.delimiter})]
+
+
+def raw_notes(source: Source | None, rows: int) -> list[Note]:
+    """What the text of a delimited file says before it gets types."""
+    if source is None or source.raw is None:
+        return [Note("observation", "rawscan_not_applicable", None, "no raw text to scan")]
+    raw, out = source.raw, []
+    if raw.truncated:
+        out.append(Note("limitation", "rawscan_truncated", None, f"only the first {raw.bytes_scanned} bytes of text were scanned", {"bytes_scanned": raw.bytes_scanned}))
+    if raw.encoding != rawscan.UTF8:
+        out.append(Note("question", "encoding_fallback", None, "the file isn't UTF-8 and was read as Latin-1; which encoding is it?", {"encoding": raw.encoding, "lines": raw.not_utf8}))
+    if raw.confidence < names.DELIMITER_CONFIDENCE:
+        out.append(Note("question", "delimiter_uncertain", None, f"only {raw.confidence:.0%} of the first lines agree on the delimiter {raw.delimiter!r}", {"delimiter": raw.delimiter, "confidence": raw.confidence}))
+    if raw.ragged:
+        out.append(Note("question", "ragged_rows", None, f"{raw.ragged} lines don't have {len(raw.header)} fields", {"lines": raw.ragged, "field_counts": raw.ragged_sizes}))
+    out += decimal_notes(raw)
+    for name, t in raw.fields.items():
+        verdict = rawscan.date_verdict(t)
+        if verdict == "ambiguous":
+            out.append(Note("question", "date_convention_ambiguous", name, f"is it day or month that comes first in {name}?", {"dates": t["date_parts"]}))
+        elif verdict == "conflicting":
+            out.append(Note("question", "date_convention_conflicting", name, f"{name} has dates of both conventions", {"first_above_12": t["date_first_high"], "second_above_12": t["date_second_high"]}))
+        if t["date_short_year"]:
+            out.append(Note("question", "two_digit_year", name, f"{t['date_short_year']} dates of {name} have years of two digits", {"rows": t["date_short_year"]}))
+        if raw.tokens.get(name):
+            out.append(Note("observation", "string_sentinels", name, f"{name} holds words that stand for missing", {"values": raw.tokens[name]}))
+    if not raw.truncated and raw.rows != rows:
+        if source.read_mode == "lenient" and raw.rows > rows:
+            out.append(Note("question", "rows_rejected_by_parser", None, f"{raw.rows - rows} lines don't parse and were left out", {"rejected": raw.rows - rows, "parsed": rows, "raw_rows": raw.rows}))
+        elif not raw.ragged:
+            out.append(Note("question", "row_count_mismatch", None, f"the text has {raw.rows} rows, the reader {rows}", {"raw_rows": raw.rows, "parsed_rows": rows}))
+    return out
+
+
 def notes(df: DataFrame, profile: list[ColumnProfile], source: Source | None) -> list[Note]:
-    out = []
-    if source is None or source.reader == "parquet":
-        out.append(Note("observation", "rawscan_not_applicable", None, "no raw text to scan"))
-    elif source.rejected:
-        out.append(Note("question", "rows_rejected_by_parser", None, f"{source.rejected} lines don't parse", {"rows": source.rejected}))
+    out = raw_notes(source, profile[0].rows if profile else 0)
     n = profile[0].rows if profile else 0
     sparse = {p.name: p.nulls for p in profile if p.nulls > names.HIGH_NULL_SHARE * n and p.nulls < n}
     blocks = same_rows(df, {c: col(c).isNull() for c in sparse}, sparse)
@@ -367,7 +439,8 @@ def audit(source: Source, manifest: Manifest | None = None, rollup: bool = False
     declared = manifest.declared if manifest else {}
     structure = infer(df, profile, declared)
     found, coverage = _level(df, profile, structure, manifest, as_of, source.order, False)
-    out = Audit(source.provenance() | {"rows": profile[0].rows if profile else 0}, profile, structure, notes(df, profile, source), [], coverage, skipped=list(manifest.skipped) if manifest else [])
+    context = Context(df, profile, structure, manifest, as_of, source.order)
+    out = Audit(source.provenance() | {"rows": profile[0].rows if profile else 0}, profile, structure, notes(df, profile, source), [], coverage, skipped=list(manifest.skipped) if manifest else [], raw=source.raw, context=context)
     if rollup:
         _roll(df, out, found, structure, declared, as_of)
     out.findings = ranked(found)
@@ -376,7 +449,7 @@ def audit(source: Source, manifest: Manifest | None = None, rollup: bool = False
 
 def _roll(df: DataFrame, out: Audit, found: list[Finding], structure: Structure, declared: dict, as_of: date) -> None:
     time = [structure.time_axis] if structure.time_axis else structure.time_parts
-    measures = T.classify_measures(kinds(df), {*time, *structure.group_columns}, declared)
+    measures = T.classify_measures(kinds(df), {*time, *structure.group_columns, *structure.grain}, declared)
     if not structure.group_columns or not measures or not time:
         out.coverage.append(("rollup", "withheld", "no series key" if not structure.group_columns else "nothing to aggregate"))
         return
@@ -391,7 +464,9 @@ def _roll(df: DataFrame, out: Audit, found: list[Finding], structure: Structure,
             more, coverage = _level(sub, profile, s, None, as_of, None, True)
             new = [f for f in more if f.key() not in seen]
             seen |= {f.key() for f in new}
-            out.rollups.append(Audit({"rows": profile[0].rows}, profile, s, [], ranked(new), coverage, level.name))
+            # charts of a level are drawn from the grouped table, which is made again for them
+            again = Context(T.roll_up(df, level, time), profile, s, None, as_of, None, True)
+            out.rollups.append(Audit({"rows": profile[0].rows}, profile, s, [], ranked(new), coverage, level.name, context=again))
         finally:
             sub.unpersist()
 
@@ -400,6 +475,15 @@ def ranked(found: list[Finding]) -> list[Finding]:
     return sorted(found, key=lambda f: (RANK[f.disposition], LEVEL[f.confidence]))
 
 
-def run(spark: SparkSession, path: str, use_manifest: bool = True, rollup: bool = False, as_of: date | None = None) -> Audit:
+def profile_only(spark: SparkSession, path: str) -> Audit:
+    """Provenance, raw evidence, columns and notes, without structure and checks."""
+    source = load(spark, path)
+    profile = profile_columns(source.df)
+    return Audit(source.provenance() | {"rows": profile[0].rows if profile else 0}, profile, Structure(), notes(source.df, profile, source), [], [], raw=source.raw)
+
+
+def run(spark: SparkSession, path: str, use_manifest: bool = True, rollup: bool = False, as_of: date | None = None, manifest: str | None = None) -> Audit:
+    """manifest: the path of a manifest to be used in place of the one beside the file."""
     source = load(spark, path)
-    return audit(source, discover(path) if use_manifest else None, rollup, as_of)
+    known = None if not use_manifest else Manifest.read(manifest) if manifest else discover(path)
+    return audit(source, known, rollup, as_of)

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from pathlib import Path
 
+from plumbline.operators.tables import classify_measures
+
 VERSION = 1
 SUFFIX = ".plumbline.json"
 
@@ -45,6 +47,14 @@ class Manifest:
         return cls(**{k: body.get(k, v) for k, v in cls().__dict__.items()})
 
 
+def from_audit(profile, structure, questions) -> Manifest:
+    """What an audit found, to be edited by a person. Nothing is declared: a guess isn't an answer."""
+    measures = classify_measures({p.name: p.kind for p in profile}, {*structure.grain, *structure.time_parts, *structure.group_columns, structure.time_axis})
+    detected = {"time_axis": structure.time_axis, "time_parts": structure.time_parts, "group_columns": structure.group_columns, "grain": structure.grain, "grain_is_unique": structure.grain_unique, "aggregate": measures}
+    asked = [{"code": n.code, "column": n.column, "question": n.message} for n in questions]
+    return Manifest(schema={"columns": [p.name for p in profile]}, questions=asked, detected=detected)
+
+
 def sidecar(path: str) -> Path:
     return Path(str(path).rstrip("/") + SUFFIX)
 

@@ -72,7 +72,7 @@ def profile_distinct(spark, d):
 
 @query(f"SELECT q, round(v, 6) AS v FROM (SELECT unnest({list(names.QUANTILES)}) AS q, unnest(quantile_cont(o_totalprice, {list(names.QUANTILES)})) AS v FROM orders)")
 def profile_quantiles(spark, d):
-    x = P.numeric_metrics(read(spark, d, "orders"), ["o_totalprice"])
+    x = P.quantile_metrics(read(spark, d, "orders"), ["o_totalprice"])
     return x.select(F.explode(F.arrays_zip(F.array(*[F.lit(q) for q in names.QUANTILES]).alias("q"), "quantiles")).alias("z")).select(F.col("z.q").alias("q"), F.round("z.quantiles", 6).alias("v"))
 
 
@@ -100,12 +100,13 @@ def sig_digits(spark, d):
 @query(f"SELECT max(g) AS sig_max, quantile_cont(g, 0.5)::DOUBLE AS sig_median, count(*) FILTER (g >= 15) AS sig_high, count(*) FILTER (g >= 15) >= 0.05 * count(*) AS derived FROM (SELECT {_DIGITS.format(x='l_extendedprice / 7')} AS g FROM lineitem)")
 def derived_precision(spark, d):
     v = read(spark, d, "lineitem").select((F.col("l_extendedprice") / 7).alias("v"))
-    return P.numeric_metrics(v, ["v"]).select("sig_max", "sig_median", "sig_high", (F.col("sig_high") >= 0.05 * F.col("non_null")).alias("derived"))
+    return P.digit_metrics(v, ["v"]).crossJoin(F.broadcast(v.agg(F.count("v").alias("_n")))).select("sig_max", "sig_median", "sig_high", (F.col("sig_high") >= 0.05 * F.col("_n")).alias("derived"))
 
 
 @query(_union([f"SELECT '{c}' AS \"column\", count({c}) AS n, round((quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) / 1.349, 6) AS robust_sigma, count({c}) >= 30 AND stddev_samp({c}) / ((quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) / 1.349) <= 2.0 AS establishable FROM orders" for c in ("o_totalprice",)]))
 def sigma_gate(spark, d):
-    x = P.numeric_metrics(read(spark, d, "orders"), ["o_totalprice"])
+    df = read(spark, d, "orders")
+    x = P.numeric_metrics(df, ["o_totalprice"]).join(P.quantile_metrics(df, ["o_totalprice"]), "column")
     q = list(names.QUANTILES)
     r = (F.col("quantiles")[q.index(0.75)] - F.col("quantiles")[q.index(0.25)]) / names.NORMAL_IQR
     return x.select("column", F.col("non_null").alias("n"), F.round(r, 6).alias("robust_sigma"), ((F.col("non_null") >= 30) & (F.col("stddev") / r <= 2.0)).alias("establishable"))
@@ -238,10 +239,10 @@ def modal_gap(spark, d):
     return S.modal_gap(S.gaps(_daily(spark, d), F.col("t"), []))
 
 
-@query(f"WITH g AS (SELECT * FROM {_GAPS.format(s=_GAPPED)}), m AS (SELECT gap AS cadence FROM g GROUP BY gap ORDER BY count(*) DESC, gap LIMIT 1) SELECT prev, t, gap::BIGINT AS gap, cadence::BIGINT AS cadence, greatest(0, round_even(gap / cadence, 0) - 1)::BIGINT AS missing FROM g, m WHERE gap > cadence AND NOT (cadence = 1 AND gap = 3 AND dayofweek(prev) = 5)")
+@query(f"WITH g AS (SELECT * FROM {_GAPS.format(s=_GAPPED)}), m AS (SELECT gap AS cadence FROM g GROUP BY gap ORDER BY count(*) DESC, gap LIMIT 1) SELECT prev, t, gap::BIGINT AS gap, cadence::BIGINT AS cadence, greatest(0, round_even(gap / cadence, 0) - 1)::BIGINT AS missing FROM g, m WHERE gap > cadence AND NOT (cadence = 1 AND gap = 3 AND dayofweek(prev) = 5) AND round_even(gap / cadence, 0) - 1 >= 1")
 def cadence_gap(spark, d):
     df = _daily(spark, d).where(~F.col("t").between(F.lit("1997-03-01").cast("date"), F.lit("1997-03-20").cast("date")))
-    return S.cadence_gaps(df, F.col("t"), []).drop("k")
+    return S.cadence_gaps(df, F.col("t"), []).where("why = 'hole'").drop("k", "why")
 
 
 @query('SELECT count(*) AS "rows", count(*) FILTER (t < p) AS inversions, count(*) FILTER (t < q) AS in_series FROM (SELECT o_orderdate AS t, lag(o_orderdate) OVER (ORDER BY file_row_number) AS p, lag(o_orderdate) OVER (PARTITION BY o_orderstatus ORDER BY file_row_number) AS q FROM (SELECT *, o_orderkey AS file_row_number FROM orders))')
@@ -295,7 +296,7 @@ def level_shift_candidates(spark, d):
 @query(f"SELECT CAST(t AS VARCHAR) AS t, 'defect' AS disposition, 'high' AS confidence FROM ({_SHIFTS}) WHERE abs(after - before) >= 0.5 * abs(step) AND abs(exp(abs(step)) - 1000) <= 10")
 def level_shift_graded(spark, d):
     rows = [r.asDict() for r in S.level_shifts(S.long(_shift(spark, d), F.col("t"), [], ["v"]), ["v"]).collect()]
-    return spark.createDataFrame([(f.evidence["t"], f.disposition, f.confidence) for f in A.grade_shifts(rows, {"v"}, 1)], "t string, disposition string, confidence string")
+    return spark.createDataFrame([(f.evidence["t"], f.disposition, f.confidence) for f in A.grade_shifts(rows, {"v"}, ["v"])], "t string, disposition string, confidence string")
 
 
 def _panel(spark, d):

@@ -1,7 +1,8 @@
 """Reading tables, with provenance.
 
-The reader is chosen by suffix. Delimited files are read in one permissive pass that keeps lines which
-don't parse, so strict, quoted and lenient reading differ only in what is done with those lines.
+The reader is chosen by suffix. A delimited file's text is scanned first, and what the scan finds says how it
+must be read: strict, as its first lines suggest; quoted, where quotes appear only later and lines would fall
+apart without them; lenient, where lines have other numbers of fields than the header and are left out.
 """
 
 from __future__ import annotations
@@ -13,12 +14,10 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from plumbline.functions import names
+from plumbline.sources import rawscan
 
 PARQUET, DELIMITED = ("parquet", "pq"), ("csv", "tsv", "txt")
-CORRUPT = "_corrupt_line"
 
 
 class UnsupportedFormat(ValueError):
@@ -36,6 +35,7 @@ class Source:
     order: list | None = None
     read_at: str = ""
     delimiter: str | None = None
+    raw: rawscan.RawEvidence | None = None
 
     def provenance(self) -> dict:
         return {"path": self.path, "reader": self.reader, "read_mode": self.read_mode, "sha256": self.sha256, "rejected_rows": self.rejected, "read_at": self.read_at}
@@ -65,39 +65,30 @@ def content_hash(spark: SparkSession, path: str) -> str:
     return h.hexdigest()
 
 
-def sniff_delimiter(lines: list[str]) -> tuple[str, float]:
-    """The delimiter whose field count most lines agree on, then the one with most fields."""
-    import csv
-    from collections import Counter
+def read_mode(raw: rawscan.RawEvidence) -> str:
+    if raw.ragged:
+        return "lenient"
+    return "quoted" if raw.unquoted_ragged and not raw.quoted_sample else "strict"
 
-    best = (0.0, 0, ",")
-    kept = [x for x in lines if x.strip()][:200]
-    for d in names.DELIMITERS:
-        sizes = Counter(len(next(csv.reader([x], delimiter=d), [])) for x in kept)
-        if sizes:
-            n, hits = sizes.most_common(1)[0]
-            if n >= 2 and (hits / len(kept), n) > best[:2]:
-                best = (hits / len(kept), n, d)
-    return best[2], best[0]
 
-
-def load(spark: SparkSession, path: str) -> Source:
+def load(spark: SparkSession, path: str, byte_cap: int | None = None) -> Source:
+    """byte_cap: scan only so many first bytes of raw text; the table is read in full."""
     now = datetime.now(timezone.utc).isoformat(timespec="seconds")
     kind = reader_for(path)
     if kind == "parquet":
         df = spark.read.parquet(path)
         meta = F.col("_metadata")
         return Source(df, path, kind, "strict", content_hash(spark, path), order=[meta["file_path"], meta["row_index"]], read_at=now)
-    head = [r.value for r in spark.read.text(path).limit(200).collect()]
-    sep, _ = sniff_delimiter(head)
-    if path.lower().endswith(".tsv"):
-        sep = "\t"
-    options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "nanValue": "nan", "positiveInf": "inf", "negativeInf": "-inf", "encoding": "UTF-8", "mode": "PERMISSIVE"}
+    raw = rawscan.scan(spark, path, byte_cap, "\t" if path.lower().endswith(".tsv") else None)
+    if raw is None:
+        raise UnsupportedFormat(f"{path} is empty")
+    mode = read_mode(raw)
+    options = {"header": True, "sep": raw.delimiter, "quote": '"', "escape": '"', "nanValue": "nan", "positiveInf": "inf", "negativeInf": "-inf", "encoding": "UTF-8" if raw.encoding == rawscan.UTF8 else "ISO-8859-1"}
+    if mode == "lenient":
+        # all columns are parsed, or lines with too many or too few fields wouldn't be seen
+        options |= {"mode": "DROPMALFORMED", "columnPruning": False, "enforceSchema": True}
     schema = spark.read.options(**options).option("inferSchema", True).csv(path).schema
-    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    read = spark.read.options(**options).option("columnNameOfCorruptRecord", CORRUPT).schema(full).csv(path).cache()
-    rejected = read.where(F.col(CORRUPT).isNotNull()).count()
-    df = read.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    df = spark.read.options(**options).schema(schema).csv(path)
     files = df.select(F.input_file_name()).distinct().limit(2).count()
     order = [F.input_file_block_start(), F.monotonically_increasing_id()] if files <= 1 else None
-    return Source(df, path, kind, "lenient" if rejected else "strict", content_hash(spark, path), rejected, order, now, sep)
+    return Source(df, path, kind, mode, content_hash(spark, path), raw.ragged, order, now, raw.delimiter, raw)
