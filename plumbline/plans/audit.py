@@ -318,7 +318,7 @@ class Audit:
         return [n for n in self.notes if n.severity == "question" and n.code in self.skipped]
 
     def findings_df(self, spark: SparkSession) -> DataFrame:
-        rows = [(self.level, f.check_id, f.column, f.disposition, f.confidence, f.summary, f.predicate, json.dumps(f.evidence, default=str)) for a in (self, *self.rollups) for f in a.findings]
+        rows = [(a.level, f.check_id, f.column, f.disposition, f.confidence, f.summary, f.predicate, json.dumps(f.evidence, default=str)) for a in (self, *self.rollups) for f in a.findings]
         return spark.createDataFrame(rows, "level string, check_id string, column string, disposition string, confidence string, summary string, predicate string, evidence string")
 
     def coverage_df(self, spark: SparkSession) -> DataFrame:

@@ -7,6 +7,7 @@ reads the same in both engines. Money is summed as decimal(18,2), so sums don't
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,9 @@ from plumbline.operators import series as S
 from plumbline.operators import structure as ST
 from plumbline.operators import tables as T
 from plumbline.plans import audit as A
+from plumbline.plans.manifest import Manifest
 from plumbline.sources import rawscan as R
+from plumbline.sources.tables import Source
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -356,29 +359,66 @@ def chart_locate_series(spark, d):
     return T.locate_series(o.crossJoin(F.broadcast(last)), F.col("o_orderdate"), ["o_orderstatus"], F.col("m"))
 
 
-def _audited(spark, d):
-    from datetime import date
+def _audited(df, as_of, **more):
+    return A.audit(Source(df, "", "parquet", "strict", ""), as_of=date.fromisoformat(as_of), **more)
 
-    from plumbline.sources.tables import Source
 
-    df = read(spark, d, "orders").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 3 == 0, 1000.0).otherwise(F.col("o_totalprice")))
-    return A.audit(Source(df, d, "parquet", "strict", ""), as_of=date(2003, 1, 1))
+_COVERAGE = {
+    "constant_numeric": ("n >= 2", "no numeric column, or fewer than 2 rows"), "schema_drift": ("false", "no manifest lists the columns"), "mojibake": ("true", ""), "duplicate_rows": ("n >= 2", "fewer than 2 rows"),
+    "duplicate_grain": ("keys = n", "which columns identify a row?"), "future_dates": ("true", ""), "cadence_gap": ("n >= 12", "fewer than 12 rows"), "file_order": ("false", "rows have no stored order here"),
+    "stale_tail": ("n >= 12", "fewer than 12 rows"), "flatline_tail": ("n >= 12", "fewer than 12 rows"), "saturation_at_bound": ("n >= 30 AND prices >= 20", "no numeric column with enough values"),
+    "negligible_residue": ("n >= 20 AND prices >= 2", "no numeric column with enough values"), "level_shift": ("n >= 20 AND prices >= 3", "no numeric column with enough values"),
+}
 
 
-@query()
+@query("WITH o AS (SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys, count(DISTINCT o_totalprice) AS prices FROM orders) " + _union([f"SELECT '{c}' AS check_id, CASE WHEN {ok} THEN 'ran' ELSE '{'blocked' if c == 'duplicate_grain' else 'withheld'}' END AS status, CASE WHEN {ok} THEN '' ELSE '{why}' END AS reason FROM o" for c, (ok, why) in _COVERAGE.items()]))
 def coverage_table(spark, d):
-    return _audited(spark, d).coverage_df(spark)
+    return _audited(read(spark, d, "orders"), "2003-01-01").coverage_df(spark)
 
 
-@query()
+_KNOWN = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_clerk", "o_orderdate"]
+
+
+@query(f"WITH now AS (SELECT column_name AS c FROM (DESCRIBE orders)), known AS (SELECT unnest({_KNOWN}) AS c), s AS (SELECT 'added' AS change, c FROM now WHERE c NOT IN (FROM known) UNION ALL SELECT 'removed', c FROM known WHERE c NOT IN (FROM now)) SELECT change, c AS \"column\", CASE WHEN (SELECT count(*) FROM s WHERE change = 'removed') > 0 THEN 'defect' ELSE 'suspect' END AS disposition FROM s")
+def schema_drift(spark, d):
+    df = read(spark, d, "orders")
+    manifest = Manifest(schema={"columns": _KNOWN})
+    context = A.Context(df, [P.ColumnProfile(c, "", "", 0) for c in df.columns], ST.Structure(), manifest, date.fromisoformat(AS_OF))
+    return spark.createDataFrame([(change, c, f.disposition) for f in A.schema_drift(context) for change in ("added", "removed") for c in f.evidence[change]], "change string, column string, disposition string")
+
+
+_PILED = f"(SELECT t, CASE WHEN day(t) % 3 = 0 THEN 1e9 WHEN day(t) % 5 = 0 THEN -7e-22 ELSE v END AS v FROM {_DAILY})"
+
+
+@query(
+    f"WITH s AS (SELECT * FROM {_PILED}), m AS (SELECT max(v) AS hi, count(*) AS n FROM s), sat AS (SELECT count(*) AS hits FROM s, m WHERE v = hi HAVING count(*) >= 2 AND count(*) >= 0.05 * (SELECT n FROM m)), "
+    "d AS (SELECT DISTINCT floor(log10(abs(v))) AS decade FROM s WHERE v <> 0), res AS (SELECT count(*) AS jumps FROM (SELECT lead(decade) OVER (ORDER BY decade) - decade AS up FROM d) WHERE up >= 6 HAVING count(*) > 0), "
+    f"g AS (SELECT * FROM {_GAPS.format(s='s')}), c AS (SELECT gap AS cadence FROM g GROUP BY gap ORDER BY count(*) DESC, gap LIMIT 1), "
+    "holes AS (SELECT count(*) AS n FROM g, c WHERE NOT (cadence = 1 AND gap = 3 AND dayofweek(prev) = 5) AND round_even(gap / cadence, 0) >= 2 HAVING count(*) > 0) "
+    "SELECT 'saturation_at_bound' AS check_id, 'v' AS \"column\", 'suspect' AS disposition, CASE WHEN EXISTS (FROM res) THEN 'high' ELSE 'medium' END AS confidence FROM sat "
+    "UNION ALL SELECT 'negligible_residue', 'v', 'defect', 'high' FROM res UNION ALL SELECT 'cadence_gap', 't', 'suspect', 'medium' FROM holes"
+)
 def corroborated_findings(spark, d):
-    return _audited(spark, d).findings_df(spark)
+    t = F.col("t")
+    df = _daily(spark, d).withColumn("v", F.when(F.day(t) % 3 == 0, 1e9).when(F.day(t) % 5 == 0, -7e-22).otherwise(F.col("v")))
+    last = df.agg(F.max("t")).first()[0]
+    return _audited(df, str(last)).findings_df(spark).select("check_id", "column", "disposition", "confidence")
 
 
-@query()
-def rollup_only_new(spark, d):
-    from datetime import date
+def _holes(level: str, keys: str) -> str:
+    day = f"(SELECT DISTINCT day AS t, {keys} FROM {_PANEL})"
+    gaps = f"(SELECT prev, date_diff('day', prev, t) AS gap FROM (SELECT lag(t) OVER (PARTITION BY {keys} ORDER BY t) AS prev, t FROM {day}) WHERE prev IS NOT NULL)"
+    cadence = f"(SELECT gap FROM {gaps} GROUP BY gap ORDER BY count(*) DESC, gap LIMIT 1)"
+    lost = f"(SELECT round_even(gap / {cadence}, 0)::BIGINT - 1 AS lost FROM {gaps} WHERE NOT ({cadence} = 1 AND gap = 3 AND dayofweek(prev) = 5))"
+    return f"SELECT '{level}' AS level, 'cadence_gap' AS check_id, count(*) AS gaps, sum(lost)::BIGINT AS missing FROM {lost} WHERE lost > 0 HAVING count(*) > 0"
 
-    from plumbline.sources.tables import Source
 
-    return A.audit(Source(_panel(spark, d), d, "parquet", "strict", ""), rollup=True, as_of=date(2003, 1, 1)).findings_df(spark)
+_WORST = f"(SELECT max(gap) FROM (SELECT date_diff('day', lag(t) OVER (PARTITION BY status, priority ORDER BY t), t) AS gap FROM (SELECT DISTINCT day AS t, status, priority FROM {_PANEL})))"
+
+
+@query(_union([_holes("file", "status, priority"), _holes("without status", "priority"), _holes("without priority", "status"), f"SELECT 'file', 'stale_tail', NULL, NULL FROM (SELECT date_diff('day', max(day), DATE '2003-01-01') AS behind FROM {_PANEL}) WHERE behind > 2 * {_WORST}"]))
+def rollup_only_new(spark, d):
+    """Of the levels' findings only those that the file doesn't have: a stale end is told once."""
+    found = _audited(_panel(spark, d), "2003-01-01", rollup=True).findings_df(spark)
+    number = lambda k: F.get_json_object("evidence", f"$.{k}").cast("long").alias(k)
+    return found.select("level", "check_id", number("gaps"), number("missing"))
