@@ -23,8 +23,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -116,7 +118,12 @@ class Model:
             if (s and folded[s - 1].isalpha()) or (e < n and folded[e].isalpha()):
                 continue
             (phrases if weight is None else words).append((s, e, weight))
-        return [w for w in words if not any(s <= w[0] and w[1] <= e for s, e, _ in phrases)] if phrases else words
+        if not phrases:
+            return words
+        # how far the phrases reach that begin at a place or before it
+        phrases.sort(key=lambda p: p[0])
+        begins, reach = [p[0] for p in phrases], list(accumulate((p[1] for p in phrases), max))
+        return [w for w in words if not ((i := bisect_right(begins, w[0])) and reach[i - 1] >= w[1])]
 
     def features(self, text: str | None) -> tuple[float, float]:
         t = fold(text)
