@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import textnum
-from plumbline.llm.common import Scratch, batch, components, lists, map_arrow, only_likely
+from plumbline.llm.common import Scratch, batch, components, hot_limit, lists, map_arrow, only_likely, spread_join
 
 #: Share of a set by which its prefix is longer than one common shingle needs, in per cent.
 SPARE = 5
@@ -289,7 +289,10 @@ class NgramJoin:
 
     def _blocks(self, rows: DataFrame) -> DataFrame:
         """Pairs among the classes that large lists connect, by bound and block."""
-        edges = rows.join(rows.groupBy("s", "band").agg(F.min("rep").alias("least")), ["s", "band"]).select(F.col("rep").alias("a"), F.col("least").alias("b"))
+        name = F.struct("s", "band").alias("_list")
+        lists_ = self.scratch.save(rows.groupBy("s", "band").agg(F.min("rep").alias("least"), F.count("*").alias("rows")).select(name, "least", "rows"))
+        hot = lists_.where(F.col("rows") > hot_limit(lists_))
+        edges = spread_join(rows.select(name, "rep"), lists_.drop("rows"), "_list", hot).select(F.col("rep").alias("a"), F.col("least").alias("b"))
         families = components(edges, self.scratch).select(F.col("id").alias("rep"), F.col("component").alias("family"))
         one = rows.select("rep", "key", "n", "band", "label").distinct().join(families, "rep")
         full = self.scratch.save(one.join(self._sizes().withColumnRenamed("doc_id", "rep"), ["rep", "key"]))
