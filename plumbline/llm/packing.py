@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -98,7 +99,7 @@ class WordIds:
         self.cache.clear()
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array(self.kind.char, ids).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -111,18 +112,30 @@ class WordIds:
             out = self.bases[letters] = self._bytes([t.id for t in self.tokenizer.model.tokenize(shown)])
         return out
 
+    def _sign(self, signs: str) -> bytes:
+        out = self.bases.get(signs)
+        if out is None:
+            out = self.bases[signs] = self._whole(signs)
+        return out
+
     def _word(self, word: str) -> bytes:
-        # a combining mark among the signs may belong to the last letter
-        m = _PLAIN.fullmatch(word) if self.direct and (word.isascii() or unicodedata.is_normalized("NFC", word)) else None
+        if not self.direct:
+            return self._whole(word)
+        if word.isascii():
+            # most words are letters, or letters and one sign
+            if word.isalpha():
+                return self._base(word.lower())
+            letters, signs = word[:-1], word[-1]
+            if signs in ".,:;!?" and letters.isalpha():
+                return self._base(letters.lower()) + self._sign(signs)
+        elif not unicodedata.is_normalized("NFC", word):
+            # a combining mark among the signs may belong to the last letter
+            return self._whole(word)
+        m = _PLAIN.fullmatch(word)
         if m is None:
             return self._whole(word)
-        out, signs = self._base(m[1].lower()), m[2]
-        if signs:
-            tail = self.bases.get(signs)
-            if tail is None:
-                tail = self.bases[signs] = self._whole(signs)
-            out += tail
-        return out
+        out = self._base(m[1].lower())
+        return out + self._sign(m[2]) if m[2] else out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -156,7 +169,8 @@ def _tokenize(path: str, end: int):
         texts = b.column(1).to_pylist()
         for lo, hi in textnum.chunks(texts):
             ids = [x + tail for x in coder.encode(texts[lo:hi])]
-            yield batch(doc_id=b.column(0)[lo:hi], ids=pa.array(ids, pa.binary()))
+            ties = [_tie(i, x) for i, x in zip(b.column(0)[lo:hi].to_pylist(), ids, strict=True)]
+            yield batch(doc_id=b.column(0)[lo:hi], ids=pa.array(ids, pa.binary()), tie=pa.array(ties, pa.int64()))
 
     return run
 
@@ -179,10 +193,13 @@ def _frequencies(width: int, kind: str):
 
 
 def _key(d: np.ndarray, idf: np.ndarray, common: np.ndarray, mean: float) -> int:
-    """The heaviest terms of a document, as one number."""
-    term, tf = np.unique(d, return_counts=True)
+    """The heaviest common terms of a document, as one number."""
+    x = np.sort(d[common[d]])
+    if not len(x):
+        return 0
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    term, tf = x[first], np.diff(np.append(first, len(x)))
     weight = idf[term] * tf / (tf + K1 * (1 - B + B * len(d) / mean))
-    weight[~common[term]] = -1
     out = 0
     for _ in range(KEYS):
         i = int(weight.argmax())
@@ -196,13 +213,10 @@ def _tie(doc_id: int | None, ids: bytes) -> int:
     return zlib.crc32(b"" if doc_id is None else doc_id.to_bytes(8, "little", signed=True), zlib.crc32(ids))
 
 
-def _sample(kind: str, idf, common, mean: float, share: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ties = [_tie(*r) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            at = [i for i, t in enumerate(ties) if (t * 0x9E3779B1 & 0xFFFFFFFF) < share * (1 << 32)]
-            keys = [_key(np.frombuffer(b.column(1)[i].as_py(), kind), idf.value, common.value, mean) for i in at]
-            yield batch(key=pa.array(keys, pa.int64()), tie=pa.array([ties[i] for i in at], pa.int64()))
+def _sample(kind: str, idf, common, mean: float):
+    def run(b: pa.RecordBatch):
+        keys = [_key(np.frombuffer(x, kind), idf.value, common.value, mean) for x in b.column(0).to_pylist()]
+        yield batch(key=pa.array(keys, pa.int64()), tie=b.column(1))
 
     return run
 
@@ -217,20 +231,19 @@ def _place(keys: np.ndarray, ties: np.ndarray, cut_keys: np.ndarray, cut_ties: n
 
 def _route(kind: str, idf, common, mean: float, cuts):
     def run(b: pa.RecordBatch):
-        rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        keys = np.array([_key(np.frombuffer(x, kind), idf.value, common.value, mean) for _, x in rows], np.int64)
-        ties = np.array([_tie(*r) for r in rows], np.int64)
-        yield batch(doc_id=b.column(0), ids=b.column(1), place=pa.array(_place(keys, ties, *cuts.value), pa.int32()), key=pa.array(keys), tie=pa.array(ties))
+        keys = np.array([_key(np.frombuffer(x, kind), idf.value, common.value, mean) for x in b.column(1).to_pylist()], np.int64)
+        yield batch(doc_id=b.column(0), ids=b.column(1), place=pa.array(_place(keys, b.column(2).to_numpy(), *cuts.value), pa.int32()), key=pa.array(keys), tie=b.column(2))
 
     return run
 
 
 def routed(ids: DataFrame, kind: str, idf, common, mean: float, total: float, parts: int) -> DataFrame:
-    """ids (doc_id, ids) in so many partitions, documents with the same heavy terms next to each other."""
+    """ids (doc_id, ids, tie) in so many partitions, documents with the same heavy terms next to each other."""
     shared = ids.sparkSession.sparkContext.broadcast
     cuts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if parts > 1:
-        found = ids.mapInArrow(_sample(kind, idf, common, mean, SAMPLE / total), "key long, tie long").groupBy("key", "tie").count().toPandas().sort_values(["key", "tie"])
+        chosen = ids.where(F.pmod(F.xxhash64("tie"), F.lit(1 << 32)) < int(SAMPLE / total * (1 << 32))).select("ids", "tie")
+        found = map_arrow(chosen, _sample(kind, idf, common, mean), "key long, tie long").groupBy("key", "tie").count().toPandas().sort_values(["key", "tie"])
         if len(found):
             upto = found["count"].cumsum().to_numpy()
             at = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts))
@@ -381,7 +394,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
     scratch = scratch or Scratch(docs.sparkSession)
     coder = word_ids(tokenizer)
     width, kind = max(coder.tokenizer.get_vocab_size(), end + 1), coder.kind.str
-    ids = scratch.save(map_arrow(docs.select("doc_id", "text"), _tokenize(tokenizer, end), "doc_id long, ids binary"))
+    ids = scratch.save(map_arrow(docs.select("doc_id", "text"), _tokenize(tokenizer, end), "doc_id long, ids binary, tie long"))
     counts = ids.select("ids").mapInArrow(_frequencies(width, kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(width)
     known = counts[counts["id"] >= 0]
