@@ -15,10 +15,11 @@
 Every window but a shard's last is exactly full. The last is written as sequences whose lengths are the
 powers of two that it adds up to, which need no padding.
 
-The tokenizer splits texts into words at white space and never joins ids across it, so ids of a word are
-looked up in a worker's cache of at most CACHE words. A plain Latin word that isn't there goes to the
-tokenizer's model itself, others to the whole tokenizer; texts with control characters that only some
-split at, and those in which an added token's string occurs, go through the library as a whole.
+The tokenizer splits texts into words at white space and never joins ids across it. Texts of about GROUP
+bytes are split together into numbered words, and words of Latin letters into letters and signs, all in
+Arrow; each different part is looked up once in a worker's caches of about CACHE entries. Letters that aren't
+there go to the tokenizer's model itself, other words to the whole tokenizer; texts with control characters
+that only some split at, and those in which an added token's string occurs, go through the library as a whole.
 
 Defined cases: null and empty texts are the end id alone; documents longer than a sequence are cut into
 consecutive pieces; rows with equal doc_id are packed each for itself; an empty table gives no pieces.
@@ -35,11 +36,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm import textnum
 from plumbline.llm.common import Scratch, batch, map_arrow
 
 LENGTH = 4096
@@ -52,6 +53,7 @@ KEY_BITS = 21
 SHARDS = 4
 SAMPLE = 65_536
 CACHE = 500_000
+GROUP = 1 << 23
 K1, B = 1.2, 0.75
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -59,6 +61,9 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 _ODD = "\x1c\x1d\x1e\x1f"
 #: A word of Latin letters and signs after it; in composed form only lower case changes it.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\\w\\s']*)")
+#: The same letters, and the signs of ASCII, of which each run is one word to the tokenizer; words of these need no pattern.
+_LETTERS = "".join(c for c in map(chr, range(256)) if _PLAIN.fullmatch(c))
+_SIGNS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c not in "'_")
 _workers: dict[str, WordIds] = {}
 
 
@@ -92,11 +97,11 @@ class WordIds:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
         self.cache = _Cache(self._word)
-        self.bases: dict[str, bytes] = {}
+        self.bases = _Cache(self._base)
+        self.signs = _Cache(self._whole)
         # the short cut for plain words is taken only if it gives what the library gives
         self.direct = all(self._base(w) == self._whole(w) for w in ("the", "zyxwvq", "être", "überßen", "ñandúà"))
-        self.bases.clear()
-        self.cache.clear()
+        self.odd = "|".join([f"[{_ODD}]", *map(re.escape, self.specials)])
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.kind.char, ids).tobytes()
@@ -106,54 +111,64 @@ class WordIds:
 
     def _base(self, letters: str) -> bytes:
         """A run of lower-case letters goes to the model itself."""
-        out = self.bases.get(letters)
-        if out is None:
-            shown = letters if letters.isascii() else letters.translate(self.letters)
-            out = self.bases[letters] = self._bytes([t.id for t in self.tokenizer.model.tokenize(shown)])
-        return out
-
-    def _sign(self, signs: str) -> bytes:
-        out = self.bases.get(signs)
-        if out is None:
-            out = self.bases[signs] = self._whole(signs)
-        return out
+        shown = letters if letters.isascii() else letters.translate(self.letters)
+        return self._bytes([t.id for t in self.tokenizer.model.tokenize(shown)])
 
     def _word(self, word: str) -> bytes:
-        if not self.direct:
-            return self._whole(word)
-        if word.isascii():
-            # most words are letters, or letters and one sign
-            if word.isalpha():
-                return self._base(word.lower())
-            letters, signs = word[:-1], word[-1]
-            if signs in ".,:;!?" and letters.isalpha():
-                return self._base(letters.lower()) + self._sign(signs)
-        elif not unicodedata.is_normalized("NFC", word):
-            # a combining mark among the signs may belong to the last letter
-            return self._whole(word)
-        m = _PLAIN.fullmatch(word)
-        if m is None:
-            return self._whole(word)
-        out = self._base(m[1].lower())
-        return out + self._sign(m[2]) if m[2] else out
+        """A combining mark among the signs may belong to the last letter, so it must not stand in this form."""
+        m = _PLAIN.fullmatch(word) if self.direct and unicodedata.is_normalized("NFC", word) else None
+        return self.bases[m[1].lower()] + self._whole(m[2]) if m else self._whole(word)
+
+    def _forms(self, words: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The ids of parts of words, and the numbers of each word's first and second part."""
+        letters = pc.utf8_rtrim(words, characters=_SIGNS)
+        signs = pc.utf8_ltrim(words, characters=_LETTERS)
+        # letters and nothing but signs after them, if the two parts make up the word
+        plain = pc.and_(pc.equal(pc.add(pc.binary_length(letters), pc.binary_length(signs)), pc.binary_length(words)), pc.greater(pc.binary_length(letters), 0))
+        plain = pc.and_(plain, self.direct)
+        bases = pc.utf8_lower(letters.filter(plain)).dictionary_encode()
+        after = signs.filter(plain).dictionary_encode()
+        other = words.filter(pc.invert(plain)).to_pylist()
+        for cache in (self.cache, self.bases, self.signs):
+            if len(cache) > CACHE:
+                cache.clear()
+        forms = list(map(self.bases.__getitem__, bases.dictionary.to_pylist()))
+        second = len(forms)
+        forms += map(self.signs.__getitem__, after.dictionary.to_pylist())
+        third = len(forms)
+        forms += map(self.cache.__getitem__, other)
+        plain = plain.to_numpy(zero_copy_only=False)
+        front, back = np.empty(len(plain), np.int64), np.full(len(plain), len(forms))
+        front[plain], back[plain] = bases.indices.to_numpy(), second + after.indices.to_numpy()
+        front[~plain] = third + np.arange(len(other))
+        return [*forms, b""], front, back
+
+    def column(self, texts: pa.Array, end: int | None = None) -> pa.Array:
+        """The ids of all texts as bytes, each followed by the end id if there is one."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring_regex(texts, self.odd)
+        whole = [self._whole(t) for t in texts.filter(odd).to_pylist()]
+        words = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        coded = words.flatten().dictionary_encode()
+        forms, front, back = self._forms(coded.dictionary)
+        known, last = len(forms), b"" if end is None else self._bytes([end])
+        # a text's words in two parts each, or the whole text as one, and the end
+        at = coded.indices.to_numpy()
+        parts = np.stack([front[at], back[at]], axis=1).ravel()
+        odd = odd.to_numpy(zero_copy_only=False)
+        first = np.concatenate([[0], 2 * np.cumsum(pc.list_value_length(words).to_numpy(), dtype=np.int64)])
+        extra = np.full((len(odd), 2), known + len(whole), np.int64)
+        extra[odd, 0] = known + np.arange(len(whole))
+        wanted = np.stack([odd, np.ones(len(odd), bool)], axis=1)
+        order = np.insert(parts, np.stack([first[:-1], first[1:]], axis=1)[wanted], extra[wanted])
+        ends = first[1:] + np.cumsum(odd) + np.arange(1, len(odd) + 1)
+        pieces = pa.array([*forms, *whole, last], pa.large_binary()).take(pa.array(order))
+        _, at, data = pieces.buffers()
+        bounds = np.frombuffer(at, np.int64)[np.concatenate([[0], ends])]
+        return pa.Array.from_buffers(pa.large_binary(), len(odd), [None, pa.py_buffer(bounds), data]).cast(pa.binary())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        split: list[tuple[int, list[str]]] = []
-        for i, t in enumerate(texts):
-            t = t or ""
-            if any(c in t for c in _ODD) or any(s in t for s in self.specials):
-                out[i] = self._whole(t)
-            else:
-                split.append((i, t.split()))
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        if len(self.bases) > CACHE:
-            self.bases.clear()
-        get = self.cache.__getitem__
-        for i, words in split:
-            out[i] = b"".join(map(get, words))
-        return out
+        return self.column(pa.array(texts, pa.string())).to_pylist() if texts else []
 
 
 def word_ids(path: str) -> WordIds:
@@ -162,15 +177,30 @@ def word_ids(path: str) -> WordIds:
     return _workers[path]
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in order with texts of about GROUP bytes together, at least one text each."""
+    held, size = [], 0
+    for b in batches:
+        begin = 0
+        for i, n in enumerate(pc.binary_length(b.column(1)).fill_null(0).to_pylist()):
+            if size and size + n > GROUP:
+                held.append(b.slice(begin, i - begin))
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size, begin = [], 0, i
+            size += n + 1
+        held.append(b.slice(begin))
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _tokenize(path: str, end: int):
-    def run(b: pa.RecordBatch):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(path)
-        tail = np.array([end], coder.kind).tobytes()
-        texts = b.column(1).to_pylist()
-        for lo, hi in textnum.chunks(texts):
-            ids = [x + tail for x in coder.encode(texts[lo:hi])]
-            ties = [_tie(i, x) for i, x in zip(b.column(0)[lo:hi].to_pylist(), ids, strict=True)]
-            yield batch(doc_id=b.column(0)[lo:hi], ids=pa.array(ids, pa.binary()), tie=pa.array(ties, pa.int64()))
+        for b in _grouped(batches):
+            doc_id, text = (c.combine_chunks() for c in b.columns)
+            ids = coder.column(text, end)
+            ties = [_tie(i, x) for i, x in zip(doc_id.to_pylist(), ids.to_pylist(), strict=True)]
+            yield batch(doc_id=doc_id, ids=ids, tie=pa.array(ties, pa.int64()))
 
     return run
 
@@ -394,7 +424,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END,
     scratch = scratch or Scratch(docs.sparkSession)
     coder = word_ids(tokenizer)
     width, kind = max(coder.tokenizer.get_vocab_size(), end + 1), coder.kind.str
-    ids = scratch.save(map_arrow(docs.select("doc_id", "text"), _tokenize(tokenizer, end), "doc_id long, ids binary, tie long"))
+    ids = scratch.save(docs.select("doc_id", "text").mapInArrow(_tokenize(tokenizer, end), "doc_id long, ids binary, tie long"))
     counts = ids.select("ids").mapInArrow(_frequencies(width, kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(width)
     known = counts[counts["id"] >= 0]
