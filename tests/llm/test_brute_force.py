@@ -174,9 +174,13 @@ def test_densification_is_a_plain_rule():
             assert int(got[b]) == own[at]
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_embeddings_in_many_cells(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "most"), [(False, 4096), (True, 4096), (False, 5), (True, 5)])
+def test_embeddings_in_many_cells(spark, monkeypatch, hot, most):
     monkeypatch.setattr(embedding_dedup, "CELL", 40)
+    if most == 5:  # large cells that are split once more
+        monkeypatch.setattr(embedding_dedup, "MAX_CELLS", most)
+        monkeypatch.setattr(embedding_dedup, "SPLIT", 300)
+        monkeypatch.setattr(embedding_dedup, "PIECE", 128)
     rng = np.random.default_rng(6)
     x = rng.normal(size=(2400, 24))
     x[1200:1800] = x[:600] + 0.17 * rng.normal(size=(600, 24))  # near the threshold
