@@ -52,8 +52,8 @@ KEYS = 3
 KEY_BITS = 21
 SHARDS = 4
 SAMPLE = 65_536
-CACHE = 500_000
-GROUP = 1 << 23
+CACHE = 300_000
+GROUP = 1 << 21
 K1, B = 1.2, 0.75
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -193,6 +193,12 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _forget() -> None:
+    """What a worker held for the tokenizer isn't needed by later stages."""
+    _workers.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def _tokenize(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_ids(path)
@@ -207,6 +213,7 @@ def _tokenize(path: str, end: int):
 
 def _frequencies(width: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         total, at, docs, tokens = np.zeros(width, np.int64), np.zeros(width, np.int64), 0, 0
         for b in batches:
             for x in b.column(0).to_pylist():
@@ -385,6 +392,7 @@ def _powers(window: list[tuple[int, int, int]], length: int) -> Iterator[list[tu
 
 def _pack(kind: str, idf, mean: float, length: int, shard_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         sequence = TaskContext.get().partitionId() << 36
         held: list[tuple] = []
         size = 0
