@@ -7,8 +7,8 @@ columns, and its generated code stays small:
 * digits: values are combined first, so each distinct value is written as text once;
 * quantiles: sketches bracket each quantile in a first pass, a second one counts what lies below a bracket
   and puts only the values inside in order, so no task holds all values of a column;
-* distinct values and top values: pairs (column, value) that combine before they are shuffled; above the
-  limit of exact counts distinct ones are HyperLogLog estimates.
+* distinct values and top values: pairs (column, value) that combine before they are shuffled. Distinct counts
+  are exact whatever the size, as keys and gates rest on them.
 """
 
 from __future__ import annotations
@@ -220,19 +220,14 @@ def profile_columns(df: DataFrame) -> list[ColumnProfile]:
         for part in (numeric_metrics, digit_metrics, quantile_metrics):
             for r in part(df, numeric).collect():
                 metrics[r["column"]] |= r.asDict()
-    exact = n <= names.EXACT_DISTINCT_LIMIT
-    if exact:
-        distinct = {r["column"]: r["distinct"] for r in distinct_counts(df, df.columns).collect()}
-    else:
-        r = df.agg(*[F.approx_count_distinct(text_value(col(c), k[c])).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
-        distinct = {c: r[i] for i, c in enumerate(df.columns)}
+    distinct = {r["column"]: r["distinct"] for r in distinct_counts(df, df.columns).collect()}
     few = [c for c in df.columns if 0 < distinct.get(c, 0) <= names.TOP_MAX_DISTINCT]
     tops: dict[str, list] = {}
     for r in (top_values(df, few).orderBy("column", F.desc("n"), "value").collect() if few else []):
         tops.setdefault(r["column"], []).append((r["value"], r["n"]))
     for i, f in enumerate(df.schema.fields):
         m = metrics[f.name]
-        p = ColumnProfile(f.name, f.dataType.simpleString(), k[f.name], n, distinct=distinct.get(f.name, 0), distinct_exact=exact, top=tops.get(f.name, []))
+        p = ColumnProfile(f.name, f.dataType.simpleString(), k[f.name], n, distinct=distinct.get(f.name, 0), top=tops.get(f.name, []))
         p.nulls, p.non_null = n - row[f"n{i}"], row[f"n{i}"] - (m.get("nonfinite") or 0)
         p.min, p.max, p.min_length, p.max_length = (row.get(f"{x}{i}") for x in "abcd")
         for key in ("nonfinite", "zeros", "negatives", "sig_high"):

@@ -30,7 +30,7 @@ def profile_report(a: A.Audit) -> str:
     out = [f"{a.provenance.get('path', '')}: {a.provenance.get('rows', 0)} rows, {len(a.profile)} columns, read {a.provenance.get('read_mode')}"]
     for p in a.profile:
         shown = "" if p.kind == "text" or p.min is None else f", {p.min} to {p.max}"
-        out.append(f"{p.name} ({p.type}): {p.distinct}{'' if p.distinct_exact else ' or so'} distinct, {p.nulls} null{shown}; {', '.join(p.properties())}")
+        out.append(f"{p.name} ({p.type}): {p.distinct} distinct, {p.nulls} null{shown}; {', '.join(p.properties())}")
     return "\n".join(out + [f"{n.severity} {n.code} {n.column or ''}: {n.message}" for n in a.notes])
 
 

@@ -52,6 +52,14 @@ def test_repeated_key_blocks(spark):
     assert ("duplicate_grain", "defect") in ids(a)
 
 
+def test_key_of_millions_of_rows_is_counted_exactly(spark):
+    ids = spark.range(2_100_000)
+    for df, status in ((ids, "ran"), (ids.unionAll(spark.range(1)), "blocked")):
+        a = A.audit(tables.Source(df, "", "parquet", "strict", ""), as_of=DAY)
+        assert a.profile[0].distinct == 2_100_000 and a.profile[0].distinct_exact
+        assert next(c for c in a.coverage if c[0] == "duplicate_grain")[1] == status
+
+
 def test_future_rows_need_a_flag_to_be_fine(spark):
     rows = [(d, float(i), True) for i, d in enumerate(days(40))]
     a = run(spark, rows, "d date, v double, is_forecast boolean", as_of=DAY + timedelta(days=20))
